@@ -174,5 +174,5 @@ def string_value(json_text: Column) -> Column:
 def string_values(json_text: Column) -> Column:
     """The string items of a JSON array value, other items dropped; null for another type."""
     items = F.from_json(json_text, "array<variant>")
-    texts = F.filter(F.transform(items, F.to_json), lambda t: t.startswith('"'))
+    texts = F.filter(F.transform(items, lambda v: F.to_json(v)), lambda t: t.startswith('"'))
     return F.when(json_text.startswith("["), F.transform(texts, string_value))
