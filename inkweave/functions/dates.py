@@ -11,6 +11,11 @@ DAY_ABBREVIATIONS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 UNKNOWN_DAY = "???"
 
 
+def _pick(names: list[str], number: Column) -> Column:
+    # element_at of a constant array answers a null index with its last element.
+    return F.when(number.isNotNull(), F.element_at(F.array(*map(F.lit, names)), number))
+
+
 def _iso_year(ts: Column) -> Column:
     return F.date_part(F.lit("YEAROFWEEK"), ts).cast("string")
 
@@ -34,7 +39,7 @@ def week_key(ts: Column) -> Column:
 
 
 def day_name(ts: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, DAY_NAMES)), iso_day(ts))
+    return _pick(DAY_NAMES, iso_day(ts))
 
 
 def minute_stamp(ts: Column) -> Column:
@@ -46,7 +51,7 @@ def day_abbrev(iso_date: Column) -> Column:
     parts = F.split(iso_date, "-")
     day = F.when(F.size(parts) == 3, F.element_at(parts, 3))
     number = F.when(day.rlike(r"^\+?0*[1-7]$"), F.regexp_extract(day, "([1-7])$", 1).cast("int"))
-    return F.coalesce(F.element_at(F.array(*map(F.lit, DAY_ABBREVIATIONS)), number), F.lit(UNKNOWN_DAY))
+    return F.coalesce(_pick(DAY_ABBREVIATIONS, number), F.lit(UNKNOWN_DAY))
 
 
 def valid_iso_week(c: Column) -> Column:

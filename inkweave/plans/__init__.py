@@ -1,6 +1,6 @@
 """Named queries over the test tables, with the SQL each must agree with."""
 
-from . import graph_queries, search_queries, text_queries  # noqa: F401
+from . import edit_queries, graph_queries, journal_queries, search_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
