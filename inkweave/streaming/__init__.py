@@ -1,0 +1 @@
+"""Streams of file changes, messages and connections."""
