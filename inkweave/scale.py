@@ -11,7 +11,6 @@ any slice size.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -27,16 +26,17 @@ COLD = -1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach; a temporary one only where none is set."""
+    """A folder all executors can reach: the checkpoint folder, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
+        return folder.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return os.path.dirname(current.rstrip("/"))
-    folder = tempfile.mkdtemp(prefix="inkweave-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/_steps"
 
 
 def new_table_path(spark: SparkSession, label: str) -> str:
