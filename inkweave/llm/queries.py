@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import benchmark_leaks
 from .ngram_join import ngram_jaccard_classes
+from .quality import quality_rules
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +28,14 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")
     )
+
+
+@query
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
