@@ -58,29 +58,37 @@ class Templates:
 
 
 def _hash_of(words: list[str]) -> np.ndarray:
-    part = next(iter(slices(pa.array(words))))
-    return np.sort(part.span_hashes(part.bounds[:-1], part.bounds[1:], fold=True))
+    part = next(slices(pa.array(words)))
+    return np.sort(part.span_hashes(part.bounds[:-1], part.bounds[1:]))
 
 
 _UNIT_HASHES = _hash_of(UNITS)
 
 
-def templates(part: Slice) -> Templates:
-    """Template words; words of punctuation alone are left out."""
-    data = part.data
+def _trimmed(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Word bounds without ASCII punctuation at either end."""
     starts, ends = part.starts.copy(), part.ends.copy()
-    if len(data) == 0:
-        return Templates(part.first_word, np.zeros(0, np.uint64), np.zeros(0, np.uint64), starts)
-    while (cut := (starts < ends) & _EDGE[data[np.minimum(starts, len(data) - 1)]]).any():
+    while (cut := (starts < ends) & _EDGE[part.data[np.minimum(starts, len(part.data) - 1)]]).any():
         starts += cut
-    while (cut := (starts < ends) & _EDGE[data[ends - 1]]).any():
+    while (cut := (starts < ends) & _EDGE[part.data[ends - 1]]).any():
         ends -= cut
+    return starts, ends
+
+
+def templates(part: Slice) -> Templates:
+    """Template words; words of punctuation alone are left out."""
+    if len(part.starts) == 0:
+        return Templates(part.first_word, np.zeros(0, np.uint64), np.zeros(0, np.uint64), part.starts)
+    data = part.data
+    starts, ends = _trimmed(part)
     keep = np.flatnonzero(starts < ends)
     total = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     between = lambda sums, a, b: sums[b] - sums[a]
     digits, numeric, breaks = total(_DIGIT[data]), total(_NUMERIC[data]), total(data == 10)
     a, b = starts[keep], ends[keep]
-    values = part.span_hashes(a, b, fold=True)
+    low = part.lowered()
+    low_a, low_b = _trimmed(low)
+    values = low.span_hashes(low_a[keep], low_b[keep])
     number = (between(digits, a, b) > 0) & (between(numeric, a, b) == b - a)
     # A sentence begins with a text, after a line break, and after a word that ends in a stop.
     text = part.text_of_word()

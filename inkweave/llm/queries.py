@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_leaks
+from .line_dedup import repeated_units
 from .ngram_join import ngram_jaccard_classes
 from .quality import quality_rules
 
@@ -35,6 +36,12 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_units(table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "kept_id": "kept_doc_id"})
+
+
 @query
 def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 SPACE = np.zeros(256, bool)
@@ -53,6 +54,7 @@ class Slice:
     """Some whole texts side by side: bytes, text bounds, word bounds, first word of each text."""
 
     first: int
+    texts: pa.Array
     data: np.ndarray
     bounds: np.ndarray
     starts: np.ndarray
@@ -83,6 +85,10 @@ class Slice:
     def word_hashes(self, fold: bool = False) -> np.ndarray:
         return self.span_hashes(self.starts, self.ends, fold)
 
+    def lowered(self) -> Slice:
+        """The same texts in lower case (all scripts); words keep their numbers."""
+        return next(slices(pc.utf8_lower(self.texts), 1 << 62))
+
     def code_points(self) -> np.ndarray:
         """Number of characters before each byte position, with one more at the end."""
         out = np.zeros(len(self.data) + 1, np.int64)
@@ -92,8 +98,6 @@ class Slice:
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the bounds of each text; null is empty."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
     if len(texts) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     large = texts.cast(pa.large_binary()).fill_null(b"")
@@ -105,6 +109,8 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(texts: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
     """Cut a text column into slices of whole texts and find their words."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
     data, bounds = bytes_of(texts)
     at, n = 0, len(bounds) - 1
     while at < n:
@@ -121,7 +127,7 @@ def slices(texts: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
         after[:-1] = word
         after[own] = False
         ends = np.flatnonzero(word & ~after[1:]) + 1
-        yield Slice(at, part, own, starts, ends, np.searchsorted(starts, own))
+        yield Slice(at, texts.slice(at, to - at), part, own, starts, ends, np.searchsorted(starts, own))
         at = to
 
 
