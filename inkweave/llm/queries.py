@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_leaks
 from .line_dedup import repeated_units
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_classes
 from .quality import quality_rules
 
@@ -42,6 +43,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "kept_id": "kept_doc_id"})
 
 
+@query
+def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix_sources(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies"
+    )
+
+
 @query
 def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
