@@ -10,6 +10,7 @@ from .line_dedup import repeated_units
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_classes
 from .quality import quality_rules
+from .training_order import write_training_order
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +38,11 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_training_order(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_units(table(spark, sf_dir, "documents"))
