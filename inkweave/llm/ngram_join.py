@@ -12,10 +12,11 @@ link:
 * blank parts are keys only of sketches with ``spare + 1`` blank parts or more;
 * a sketch with at most ``spare`` crowded keys drops these, for another key must agree too.
 
-Within a key no pairs are built: in each round a few hubs meet the members that are not yet in
-their component, every pair is checked on a dense 1,024-bit sketch and then on the sets, and the
-hubs leave the key.  Rounds go on until each key holds one component, with twice as many hubs in
-each, so the result is exact whatever the data.
+No pairs of a group are sent anywhere.  First every key's most connected member, the likely
+original of a group of near copies, meets the others, which finds most components with one pair per
+member.  Then the members of keys that still hold several components are compared inside their tasks,
+in blocks of bounded size, on dense 1,024-bit sketches; only pairs of different components that the
+sketches do not rule out leave the task.  All pairs are checked on the sets themselves.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .words import Slice, cut, distinct_sorted, mix, slices, windows
 PART_BITS = 16
 SKETCH_WORDS = 16
 CROWDED = 1_000
-HUBS = 4
+BLOCK = 1_024
 SEEN_CLASSES = 100_000
 MEMBERS_PER_TASK = 512
 MAX_SIZE = 1 << 40
@@ -164,11 +165,15 @@ def _keys(docs: DataFrame, text_col: str, n: int, num: int, den: int) -> DataFra
                     keys, who = part_keys(sets, first, bands, up)
                     keep = fresh[who]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[keep].view(np.int64)), pa.array(ids[who[keep]])],
-                        ["key", "cls"],
+                        [
+                            pa.array(keys[keep].view(np.int64)),
+                            pa.array(ids[who[keep]]),
+                            pa.array(np.full(int(keep.sum()), up, np.int8)),
+                        ],
+                        ["key", "cls", "up"],
                     )
 
-    return docs.select(text_col).mapInArrow(run, "key long, cls long")
+    return docs.select(text_col).mapInArrow(run, "key long, cls long, up byte")
 
 
 def _sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -187,25 +192,110 @@ def _sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "cls long, grams binary")
 
 
-def _drop_crowded(shared: DataFrame, num: int, den: int) -> DataFrame:
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows of keys that several classes have, and how many rows the key has.
+
+    Two sets of the lower band meet in their own band, so a key needs one of the upper band.
+    """
+    by_key = Window.partitionBy("key")
+    return (
+        keys.select(
+            "key", "cls", "up",
+            F.min("cls").over(by_key).alias("lo"), F.max("cls").over(by_key).alias("hi"),
+            F.min("up").over(by_key).alias("least"), F.count("*").over(by_key).alias("size"),
+        )
+        .filter("lo < hi and least = 0")
+        .select("key", "cls", "up", "size")
+        .distinct()
+    )
+
+
+def _without_crowded(shared: DataFrame, bands: Bands) -> DataFrame:
     """Leave out crowded keys of the sketches that have at most ``spare`` of them."""
-    spare = Bands(num, den).spare
-    band = F.pmod("key", F.lit(256)).cast("int")
-    allowed = F.element_at(F.lit([int(s) for s in spare]), F.col("band") + 1)
-    crowded = shared.groupBy("key").count().filter(F.col("count") > CROWDED).select("key")
-    few = (
-        shared.join(crowded, "key", "left_semi")
-        .groupBy("cls", band.alias("band"))
-        .agg(F.count("*").alias("crowds"))
-        .filter(F.col("crowds") <= allowed)
-        .select("cls", "band")
+    crowded = shared.filter(F.col("size") > CROWDED).withColumn("band", F.pmod("key", F.lit(256)).cast("int"))
+    spare = F.element_at(F.lit([int(s) for s in bands.spare]), F.col("band") + 1)
+    many = crowded.groupBy("cls", "band").agg(F.count("*").alias("crowds")).filter(F.col("crowds") > spare)
+    return shared.filter(F.col("size") <= CROWDED).union(
+        crowded.join(many, ["cls", "band"], "left_semi").select(*shared.columns)
+    )
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs of each key's most connected member with the others."""
+    fame = rows.groupBy("cls").agg(F.sum("size").alias("fame"))
+    hubs = rows.join(fame, "cls").groupBy("key").agg(F.max(F.struct("fame", "cls"))["cls"].alias("hub"))
+    return (
+        rows.join(hubs, "key")
+        .filter("cls <> hub")
+        .select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+        .distinct()
+    )
+
+
+def _left_over(rows: DataFrame, groups: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components that share a key and that sizes and sketches do not rule out.
+
+    Keys with more than ``BLOCK`` members are cut into blocks, and each two blocks meet in one place.
+    """
+    placed = rows.select("key", "cls", "up").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+        "component", F.coalesce("component", "cls")
     )
+    open_keys = (
+        placed.groupBy("key")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+        .filter("lo < hi")
+        .select("key", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    )
+    live = placed.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    meet = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "component", "up",
+    )
+    described = meet.join(classes.select("cls", "n", "sketch"), "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            if table.num_rows == 0:
+                continue
+            # The last group may go on in the next batch.
+            group = np.stack([table.column(i).to_numpy() for i in range(3)])
+            start = int(np.flatnonzero((group != group[:, -1:]).any(axis=0))[-1:].sum() + 1) if (
+                (group != group[:, -1:]).any()
+            ) else 0
+            yield pairs(table.slice(0, start))
+            held = table.slice(start).combine_chunks()
+        if held is not None:
+            yield pairs(held)
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        out = [np.zeros((0, 2), np.int64)]
+        if table.num_rows:
+            key, i, j, cls, component, up, n = (table.column(c).to_numpy() for c in range(7))
+            sketch = table.column(7).combine_chunks().flatten().to_numpy().reshape(-1, SKETCH_WORDS)
+            number = np.cumsum(np.concatenate([[0], (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
+            longest = int(np.bincount(number).max())
+            for apart in range(1, longest):
+                x = np.flatnonzero(number[apart:] == number[:-apart])
+                y = x + apart
+                ok = (component[x] != component[y]) & (np.minimum(up[x], up[y]) == 0)
+                ok &= np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num
+                x, y = x[ok], y[ok]
+                far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+                near = far * (den + num) <= (n[x] + n[y]) * (den - num)
+                x, y = cls[x[near]], cls[y[near]]
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
     return (
-        shared.join(crowded.withColumn("crowded", F.lit(True)), "key", "left")
-        .withColumn("band", band)
-        .join(few.withColumn("few", F.lit(True)), ["cls", "band"], "left")
-        .filter(F.col("crowded").isNull() | F.col("few").isNull())
-        .select("key", "cls")
+        described.select("key", "i", "j", "cls", "component", F.col("up").cast("int").alias("up"), "n", "sketch")
+        .repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j")
+        .mapInArrow(run, "a long, b long")
+        .distinct()
     )
 
 
@@ -305,71 +395,24 @@ def ngram_jaccard_classes(
         .agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")),
         "classes",
     )
-    keys = _keys(docs, text_col, n, num, den)
-    by_key = Window.partitionBy("key")
-    first, last = F.min("cls").over(by_key), F.max("cls").over(by_key)
-    shared = keys.select("key", "cls", first.alias("lo"), last.alias("hi")).filter("lo < hi")
-    shared = cut_lineage(shared.select("key", "cls").distinct(), "shared")
-    need = classes.join(shared.select("cls").distinct(), "cls", "left_semi").select(
-        F.col("rep").alias("_rep"), F.col("cls").alias("_cls")
-    )
+    shared = cut_lineage(_shared(_keys(docs, text_col, n, num, den)), "shared")
+    need = classes.join(shared.select("cls").distinct(), "cls", "left_semi").select("cls", "rep")
     chosen = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(
-        need.select(F.col("_rep").alias("_id")).distinct(), "_id", "left_semi"
+        need.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi"
     )
     sets = cut_lineage(
-        _sets(chosen, "_text", n)
-        .join(need.select(F.col("_cls").alias("cls")), "cls", "left_semi")
-        .dropDuplicates(["cls"]),
-        "sets",
+        _sets(chosen, "_text", n).join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets"
     )
-    live = cut_lineage(_drop_crowded(shared, num, den), "live")
-    edges, groups, hubs = None, None, HUBS
-    while not live.isEmpty():
-        if groups is None:
-            placed = live.withColumn("component", F.col("cls"))
-        else:
-            placed = live.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-                "component", F.coalesce("component", "cls")
-            )
-        chosen_hubs = (
-            placed.groupBy("key")
-            .agg(
-                F.min("component").alias("lo"),
-                F.max("component").alias("hi"),
-                F.array_distinct(
-                    F.array(
-                        *(F.min(F.struct(F.xxhash64("cls", F.lit(i)), "cls", "component")) for i in range(hubs))
-                    )
-                ).alias("hubs"),
-            )
-            .filter("lo < hi")
-            .select("key", "hubs")
-        )
-        # Hubs of one key repeat in others: the pairs are made distinct before any check.
-        met = cut_lineage(placed.join(chosen_hubs, "key"), "met")
-        pairs = (
-            met.select("cls", "component", F.explode("hubs").alias("hub"))
-            .filter(F.col("hub.component") != F.col("component"))
-            .select(F.greatest("cls", "hub.cls").alias("a"), F.least("cls", "hub.cls").alias("b"))
-            .distinct()
-        )
-        near = cut_lineage(_may_link(pairs, classes, num, den), "near")
-        found = cut_lineage(_verify(near, sets, num, den), "links")
-        edges = found if edges is None else edges.union(found)
-        groups = components(edges)
-        live = cut_lineage(
-            met.filter(~F.array_contains(F.transform("hubs", lambda h: h["cls"]), F.col("cls"))).select("key", "cls"),
-            "live",
-        )
-        hubs = min(2 * hubs, 64)
-    if groups is None:
-        named = classes.select("cls", F.col("rep").alias("component"))
-    else:
-        placed = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select(
-            "cls", "rep", F.coalesce("component", "cls").alias("root")
-        )
-        least = placed.groupBy("root").agg(F.min("rep").alias("component"))
-        named = placed.join(least, "root").select("cls", "component")
+    rows = cut_lineage(_without_crowded(shared, Bands(num, den)), "keys")
+    near = cut_lineage(_may_link(_stars(rows), classes, num, den), "near")
+    edges = cut_lineage(_verify(near, sets, num, den), "links")
+    left = cut_lineage(_left_over(rows, components(edges), classes, num, den), "left")
+    groups = components(edges.union(_verify(left, sets, num, den)))
+    placed = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "cls", "rep", F.coalesce("component", "cls").alias("root")
+    )
+    least = placed.groupBy("root").agg(F.min("rep").alias("component"))
+    named = placed.join(least, "root").select("cls", "component")
     return (
         members.join(named, "cls", "left")
         .select(
