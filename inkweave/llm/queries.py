@@ -13,6 +13,7 @@ from .line_dedup import repeated_units
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_classes
 from .quality import quality_rules
+from .suffixes import repeated_passages
 from .training_order import write_training_order
 
 QUERIES = {}
@@ -60,6 +61,11 @@ def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
