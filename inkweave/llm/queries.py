@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_classes
 from .quality import quality_rules
 from .suffixes import repeated_passages
+from .toxicity import fit_toxicity, held_out, score_toxicity
 from .training_order import write_training_order
 
 QUERIES = {}
@@ -66,6 +67,18 @@ def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op8_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(held_out("id"), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
