@@ -9,6 +9,7 @@ from inkweave.scale import cut_lineage
 
 from .chat import format_chats, read_back
 from .decontaminate import benchmark_leaks
+from .licenses import license_scan
 from .line_dedup import repeated_units
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_classes
@@ -67,6 +68,13 @@ def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.col("doc_id").cast("string"))
+    return license_scan(docs.withColumn("path", path)).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op8_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
