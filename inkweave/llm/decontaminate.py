@@ -246,3 +246,37 @@ def benchmark_leaks(
     for block in _blocks(items, window):
         found = scan(block) if found is None else found.union(scan(block))
     return source.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    min_covered: float = MIN_COVERED,
+) -> DataFrame:
+    """The rows of ``docs`` into which no benchmark item leaks, columns unchanged.
+
+    Texts are judged where the rows lie; nothing is shuffled.  Null and empty texts stay.
+    """
+    items = (
+        benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
+        .filter("text is not null")
+        .distinct()
+    )
+
+    def clean(block: Block):
+        def run(texts: pa.Array) -> pa.Array:
+            out = np.ones(len(texts), bool)
+            for part in slices(texts):
+                for text, *_ in block.leaks(part, min_covered):
+                    out[part.first + text] = False
+            return pa.array(out)
+
+        return F.arrow_udf(run, "boolean")
+
+    for block in _blocks(items, window):
+        docs = docs.filter(clean(block)(F.col(f"`{text_col}`").cast("string")))
+    return docs

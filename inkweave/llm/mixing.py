@@ -11,11 +11,15 @@ classed more coarsely, until one fraction per source is left and drawn for.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave.scale import cut_lineage
 
+from .names import free_names
 from .order import with_total_before
 
 WEIGHTS = (5, 2, 1)
@@ -158,17 +162,6 @@ def pivotal_rounding(
     return out.union(last)
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Key columns that name a row: id, source, text hash, and a number among equal rows."""
-    key = [F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source"),
-           F.xxhash64(F.col(text_col)).alias("_text_key")]
-    named = docs.select(*(docs[c] for c in docs.columns), *key)
-    # Equal rows are alike in every column, so any order among them gives the same table.
-    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
-    same = Window.partitionBy("_id", "_source", "_text_key").orderBy(F.xxhash64(*(docs[c] for c in plain)))
-    return named.withColumn("_copy", F.row_number().over(same))
-
-
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -196,7 +189,7 @@ def mix_sources(
     slim = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(source_col).cast("string").alias("source"),
-        F.col(text_col).alias("text"),
+        F.col(text_col).cast("string").alias("text"),
     )
     key = ["id", "source", "text_key"]
     rows = slim.select("id", "source", F.xxhash64("text").alias("text_key"), word_count(F.col("text")).alias("size"))
@@ -229,18 +222,32 @@ def take_mix(
     source_col: str = "source",
 ) -> DataFrame:
     """The rows of ``docs`` as often as ``mix`` says, with their columns unchanged."""
-    named = _named(docs, id_col, text_col, source_col)
-    chosen = mix.filter("copies > 0").select(
-        *(F.col(c).alias(f"_m_{c}") for c in ("id", "source", "text_key", "copy", "copies"))
+    names = free_names(docs, "id", "source", "text_key", "copy", "copies", "alone")
+    row = free_names(docs, "row_id", "row_source", "row_text_key", "row_copy")
+    alone = F.count("*").over(Window.partitionBy("id", "source", "text_key")) == 1
+    chosen = cut_lineage(
+        mix.select("id", "source", "text_key", "copy", "copies", alone).toDF(*names).filter(F.col(names[4]) > 0), "mix"
     )
-    match = (
-        F.col("_id").eqNullSafe(F.col("_m_id"))
-        & F.col("_source").eqNullSafe(F.col("_m_source"))
-        & (F.col("_text_key") == F.col("_m_text_key"))
-        & (F.col("_copy") == F.col("_m_copy"))
+    named = docs.withColumns(
+        {
+            row[0]: F.col(f"`{id_col}`").cast("long"),
+            row[1]: F.col(f"`{source_col}`").cast("string"),
+            row[2]: F.xxhash64(F.col(f"`{text_col}`").cast("string")),
+        }
     )
-    return (
-        named.join(chosen, match)
-        .withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_m_copies"))))
-        .select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def taken(rows: DataFrame, those: DataFrame, n: int) -> DataFrame:
+        match = [F.col(r).eqNullSafe(F.col(m)) for r, m in zip(row[:n], names[:n], strict=True)]
+        matched = rows.join(those, reduce(and_, match))
+        return matched.withColumn(row[0], F.explode(F.array_repeat(F.lit(0), F.col(names[4])))).select(*columns)
+
+    # Only rows that share id, source and text need a number among themselves.
+    several = chosen.filter(~F.col(names[5]))
+    keys = several.select(*names[:3]).distinct()
+    match = reduce(and_, (F.col(r).eqNullSafe(F.col(m)) for r, m in zip(row, names[:3], strict=False)))
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    numbered = named.join(keys, match, "left_semi").withColumn(
+        row[3], F.row_number().over(Window.partitionBy(*row[:3]).orderBy(F.xxhash64(*plain)))
     )
+    return taken(named, chosen.filter(F.col(names[5])), 3).union(taken(numbered, several, 4))

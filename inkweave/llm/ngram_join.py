@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from inkweave.scale import cut_lineage
 
 from .graph import components
+from .names import free_names
 from .words import Slice, cut, distinct_sorted, mix, slices, windows
 
 PART_BITS = 16
@@ -133,16 +134,17 @@ def _members(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                     [
                         batch.column(0).slice(part.first, part.n_texts),
                         pa.array(np.diff(first)),
+                        batch.column(2).slice(part.first, part.n_texts),
                         pa.array(class_ids(sets, first).view(np.int64)),
                         pa.FixedSizeListArray.from_arrays(
                             pa.array(sketch.ravel()), SKETCH_WORDS
                         ).cast(pa.list_(pa.int64())),
                     ],
-                    ["id", "n", "cls", "sketch"],
+                    ["id", "n", "text_key", "cls", "sketch"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        run, "id long, n long, cls long, sketch array<long>"
+    return docs.select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col)).mapInArrow(
+        run, "id long, n long, text_key long, cls long, sketch array<long>"
     )
 
 
@@ -377,7 +379,8 @@ def ngram_jaccard_classes(
     """Components of documents whose sets of word ``n``-grams have Jaccard >= ``num``/``den``.
 
     Returns one row per row of ``docs``: ``id`` (as long), ``n_shingles`` and ``component``, the
-    smallest id reachable by links, the own id included.  Words are runs outside ASCII white
+    smallest id reachable by links, the own id included, and two hashes: ``text_key`` of the text and
+    ``cls`` of the set of n-grams.  Words are runs outside ASCII white
     space, A-Z folded; a text of fewer than ``n`` words has its whole sequence as its one n-gram.
 
     A null, empty or blank text has no n-grams, size 0 and links with nothing.  A row with a null
@@ -388,6 +391,8 @@ def ngram_jaccard_classes(
     """
     if n < 1 or not 0 < num <= den:
         raise ValueError("need n >= 1 and 0 < num <= den")
+    docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    id_col, text_col = "_id", "_text"
     members = cut_lineage(_members(docs, id_col, text_col, n), "members")
     classes = cut_lineage(
         members.filter("n > 0")
@@ -419,5 +424,41 @@ def ngram_jaccard_classes(
             "id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"),
+            "text_key",
+            "cls",
         )
     )
+
+
+def one_of_each_class(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does, columns unchanged.
+
+    ``found`` is what :func:`ngram_jaccard_classes` says of ``docs``.  The document with the smallest id
+    stays, of several with this id the one whose text hash is smallest; equal rows stay once.
+    Documents without n-grams are in no group and all stay.  Where no row of a group has an id, each
+    set of n-grams keeps one text.
+    """
+    group = F.struct(F.col("component"), F.when(F.col("component").isNull(), F.col("cls")))
+    stays = (
+        found.filter("n_shingles > 0")
+        .filter(F.col("id").eqNullSafe(F.col("component")))
+        .groupBy(group.alias("group"))
+        .agg(F.min("text_key").alias("text_key"))
+        .select(F.col("group.component").alias("id"), "text_key")
+    )
+    times = found.filter("n_shingles > 0").groupBy("id", "text_key").agg(F.count("*").alias("times"))
+    stays = stays.alias("s").join(
+        times.alias("t"), F.expr("s.id <=> t.id and s.text_key = t.text_key"), "left"
+    ).select("s.id", "s.text_key", F.col("times") > 1)
+    blank = found.filter("n_shingles = 0").select("id", "text_key", F.lit(False)).distinct()
+    own_id, own_key, again = free_names(docs, "id", "text_key", "again")
+    chosen = cut_lineage(stays.union(blank).toDF(own_id, own_key, again), "stays")
+    row_id, row_key = free_names(docs, "row_id", "row_key")
+    named = docs.withColumns({row_id: F.col(f"`{id_col}`").cast("long"), row_key: F.xxhash64(F.col(f"`{text_col}`"))})
+    match = F.col(row_id).eqNullSafe(F.col(own_id)) & (F.col(row_key) == F.col(own_key))
+    kept = named.join(chosen, match)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Only rows that are there several times need to be told apart.
+    single = kept.filter(~F.col(again)).select(*columns)
+    several = kept.filter(F.col(again)).dropDuplicates([row_id, row_key]).select(*columns)
+    return single.union(several)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from inkweave.scale import cut_lineage
 
 from .chat import format_chats, read_back
@@ -109,3 +110,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import free_names
 from .recurrent import Network, lexicon, score_windows, train, window_starts
 from .words import Slice, slices
 
@@ -152,8 +153,6 @@ def without_toxic(
         parts = [model.scores(p) for p in slices(texts, SLICE)]
         return pa.array(np.concatenate(parts).astype(float) if parts else np.zeros(0))
 
-    name = "_toxicity"
-    while name in docs.columns:
-        name += "_"
+    (name,) = free_names(docs, "toxicity")
     scored = docs.withColumn(name, F.arrow_udf(score, "double")(F.col(f"`{text_col}`").cast("string")))
     return scored.filter(F.col(name) < threshold).select(*columns)
