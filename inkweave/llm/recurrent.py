@@ -20,6 +20,9 @@ HIDDEN = 8
 WORD_BUCKETS = 1 << 13
 TRIGRAM_BUCKETS = 1 << 13
 GATES = 3 * HIDDEN
+DECAY = 0.5
+DROPPED_WORDS = 0.6
+DROPPED_TRIGRAMS = 0.1
 
 _EDGE = np.zeros(256, bool)
 _EDGE[33:48] = _EDGE[58:65] = _EDGE[91:97] = _EDGE[123:127] = True
@@ -157,9 +160,12 @@ class Network:
             dh = np.where(m[:, None], own * z, d) + da @ u.T
         return dx, du
 
-    def gradients(self, words: Lexicon, ids: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray):
-        """Gradients of the weighted logistic loss over windows."""
-        vectors = self.vectors(words)
+    def gradients(
+        self, words: Lexicon, ids: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray,
+        keep_inputs: np.ndarray | float = 1.0,
+    ):
+        """Gradients of the weighted logistic loss over windows; ``keep_inputs`` blanks inputs of words."""
+        vectors = self.vectors(words) * keep_inputs
         keep: dict = {}
         logit = self.logits(self.gates(words, vectors), ids, mask, keep)
         error = (weight * (1 / (1 + np.exp(-logit)) - target)).astype(np.float32)
@@ -181,7 +187,7 @@ class Network:
         dgates = np.zeros((len(words.bucket), 2 * GATES), np.float32)
         np.add.at(dgates, which, each)
         g["inputs"], g["bias"] = vectors.T @ dgates, dgates.sum(axis=0)
-        dx = dgates @ self.p["inputs"].T
+        dx = dgates @ self.p["inputs"].T * keep_inputs
         g["words"] = np.zeros_like(self.p["words"])
         np.add.at(g["words"], words.bucket, dx[:, :WIDTH])
         size = np.diff(words.first)
@@ -203,6 +209,8 @@ class Adam:
             self.m[k] += 0.1 * (x - self.m[k])
             self.v[k] += 0.001 * (x * x - self.v[k])
             self.p[k] -= (scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)).astype(np.float32)
+            if k in ("words", "trigrams"):
+                self.p[k] *= 1 - self.rate * DECAY
 
 
 def _part_of(words: Lexicon, ids: np.ndarray) -> tuple[Lexicon, np.ndarray]:
@@ -220,14 +228,15 @@ def score_windows(net: Network, gates: np.ndarray, ids: np.ndarray, mask: np.nda
 
 
 def train(
-    windows: list[list[str]], labels: list[int], length: int, epochs: int = 14, batch: int = 256,
+    windows: list[list[str]], labels: list[int], length: int, epochs: int = 14, batch: int = 128, updates: int = 500,
     rate: float = 0.02, seed: int = 5,
 ) -> Network:
     """Fit a network on documents given as lists of windows (words joined by blanks).
 
     Each turn scores all windows, takes the worst of every document and, of clean documents, a
     random one besides, and learns from these.  In the first turns toxic documents give a random
-    window too, so that words of all windows get a chance.
+    window too, so that words of all windows get a chance.  Few documents get more turns than
+    ``epochs``, up to four times as many, for about ``updates`` steps.
     """
     rng = np.random.default_rng(seed)
     net = Network(seed)
@@ -245,6 +254,7 @@ def train(
     share = labels.mean()
     by_class = np.where(labels > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)) ** 0.5
     adam = Adam(net.p, rate)
+    epochs = max(epochs, min(4 * epochs, updates * batch // max(2 * len(labels), 1)))
     for epoch in range(epochs):
         logit = score_windows(net, net.gates(words), ids, mask)
         order = np.lexsort((-logit, doc))
@@ -257,6 +267,9 @@ def train(
             c = chosen[a : a + batch]
             own, local = _part_of(words, ids[c])
             y = labels[doc[c]]
-            grads, _ = net.gradients(own, local, mask[c], y, by_class[doc[c]].astype(np.float32) / len(c))
+            # A word is often known by its letters alone, so that it is not learned by heart.
+            kept = rng.random((len(own.bucket), 2)) >= [DROPPED_WORDS, DROPPED_TRIGRAMS]
+            kept = np.repeat(kept, WIDTH, axis=1).astype(np.float32)
+            grads, _ = net.gradients(own, local, mask[c], y, by_class[doc[c]].astype(np.float32) / len(c), kept)
             adam.step(grads)
     return net
