@@ -36,7 +36,8 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-BREAK = r"(?:[^a-z0-9.+-]|[.+-](?![a-z0-9]))+"
+# No repeated groups: the regular expressions of the JVM recurse on them, and runs can be long.
+BREAK = r"[^a-z0-9.+-]+|[.+-]+(?![a-z0-9])"
 LICENCE_FILE = r"(?i)^(un)?licen[cs]e|^copying|^notice"
 MIN_COSINE = 0.7
 MIN_SHARE = 0.5
