@@ -26,10 +26,18 @@ def relevant_events(events: DataFrame) -> DataFrame:
 
 
 def dedupe_mtime(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Drop a Modified whose mtime equals that of the path's previous event; Deleted resets."""
+    """Drop a Modified whose mtime equals the one remembered for its path.
+
+    Each Modified with an mtime is remembered; one without leaves what is remembered, as any
+    other kind does, but Deleted forgets it.
+    """
     sliced = with_slices(events, ["path"], "seq", rows_per_slice)
-    seen = previous_row(sliced, ["path"], "seq", ["kind", "mtime"])
-    repeated = (F.col("kind") == "Modified") & (F.col("prev.kind") == "Modified") & (F.col("prev.mtime") == F.col("mtime"))
+    modified = (F.col("kind") == "Modified") & F.col("mtime").isNotNull()
+    kept = F.when(modified, F.struct("mtime")).when(
+        F.col("kind") == "Deleted", F.struct(F.lit(None).cast(events.schema["mtime"].dataType).alias("mtime"))
+    )
+    seen = carried_value(sliced, ["path"], "seq", kept, "known", before=True)
+    repeated = modified & (F.col("known.mtime") == F.col("mtime"))
     return seen.filter(~F.coalesce(repeated, F.lit(False))).select(*events.columns)
 
 

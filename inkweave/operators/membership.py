@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import COLD, ROWS_PER_SLICE, cut_lineage, hot_keys, running_sum, with_slices
+from ..scale import ROWS_PER_SLICE, cut_lineage, running_sum, with_slices
 
 KEYS = ["observer", "peer_id"]
 STATE_FIELDS = ["state", "m_incarnation", "m_address", "m_via"]
@@ -79,34 +79,52 @@ def _fold(rows: DataFrame, keep: str) -> DataFrame:
 
 def _foreign(gossip: DataFrame) -> DataFrame:
     return gossip.filter("peer_id <> observer").select(
-        *KEYS, "seq", "type", F.col("incarnation").cast("long").alias("incarnation"), "address", F.col("from").alias("via")
+        *KEYS,
+        "seq",
+        "type",
+        # A removal has no number; with a null among them pandas would read all as doubles.
+        F.coalesce(F.col("incarnation").cast("long"), F.lit(0)).alias("incarnation"),
+        "address",
+        F.col("from").alias("via"),
     )
 
 
 def _with_starts(gossip: DataFrame, rows_per_slice: int) -> DataFrame:
     """Rows with their slice and the entry that holds before the slice.
 
-    Cold keys are one slice and start with nothing.  The slices of a hot key are folded
-    side by side from a guessed start, then again from what the slice before really ended
-    with, until no start changes.  Slice n is right after n rounds at the latest; since
-    most slices end the same for any start, two or three rounds are usual.
+    A key in one slice starts with nothing.  The slices of a longer key are folded side by
+    side from a guessed start; then those whose slice before ended otherwise are folded again,
+    until no start changes.  Slice n is right after n rounds at the latest; since most slices
+    end the same for any start, two or three rounds are usual.
     """
-    rows = _foreign(gossip)
-    empty = [F.lit(None).cast(t).alias(n) for n, t in (field.split() for field in STATE_SCHEMA.split(", "))]
-    if hot_keys(rows.select(*KEYS), KEYS, rows_per_slice).isEmpty():
-        return rows.withColumn("_slice", F.lit(COLD).cast("long")).select("*", *empty)
-    sliced = cut_lineage(with_slices(rows, KEYS, "seq", rows_per_slice), "sliced")
-    hot = sliced.filter(F.col("_slice") != COLD)
+    empty = [
+        (F.lit(0) if n == "m_incarnation" else F.lit(None)).cast(t).alias(n)
+        for n, t in (field.split() for field in STATE_SCHEMA.split(", "))
+    ]
+    sliced = cut_lineage(with_slices(_foreign(gossip), KEYS, "seq", rows_per_slice), "sliced")
+    here = [*KEYS, "_slice"]
     in_order = Window.partitionBy(*KEYS).orderBy("_slice")
-    starts = cut_lineage(hot.select(*KEYS, "_slice").distinct().select("*", *empty), "starts")
+    spans = sliced.select(*here).distinct().withColumn("_n", F.count("*").over(Window.partitionBy(*KEYS)))
+    starts = cut_lineage(spans.filter("_n > 1").select(*here, *empty), "starts")
+    ends = cut_lineage(_fold(sliced.join(starts, here), "last").select(*here, *STATE_FIELDS), "ends")
     while True:
-        ends = _fold(hot.join(starts, [*KEYS, "_slice"]), "last")
-        shifted = ends.select(*KEYS, "_slice", *[F.lag(c).over(in_order).alias(c) for c in STATE_FIELDS])
-        shifted = cut_lineage(shifted, "starts")
-        if shifted.exceptAll(starts).isEmpty():
-            break
+        shifted = cut_lineage(
+            ends.select(
+                *here,
+                *[
+                    F.coalesce(F.lag(c).over(in_order), F.lit(0)).alias(c) if c == "m_incarnation" else F.lag(c).over(in_order).alias(c)
+                    for c in STATE_FIELDS
+                ],
+            ),
+            "starts",
+        )
+        changed = shifted.exceptAll(starts)
         starts = shifted
-    return sliced.join(starts, [*KEYS, "_slice"], "left")
+        if changed.isEmpty():
+            break
+        again = _fold(sliced.join(changed, here), "last").select(*here, *STATE_FIELDS)
+        ends = cut_lineage(ends.join(changed.select(*here), here, "left_anti").unionByName(again), "ends")
+    return sliced.join(starts, here, "left").withColumn("m_incarnation", F.coalesce("m_incarnation", F.lit(0)))
 
 
 def gossip_changes(gossip: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:

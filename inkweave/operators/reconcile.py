@@ -25,7 +25,7 @@ def reconcile(files: DataFrame, index: DataFrame, rows_per_slice: int = ROWS_PER
     """(path, action, moved_from): indexed, reindexed, unchanged, orphaned or moved per path.
 
     An orphan and a new file with equal content are a move, each used once.  Copies of one
-    content are paired by number; a content with very many copies is numbered in parts.
+    content are paired by their number in path order.
     """
     have = fingerprints(files).select("path", F.col("fingerprint").alias("file_print"))
     known = fingerprints(index).select("path", F.col("fingerprint").alias("index_print"))

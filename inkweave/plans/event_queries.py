@@ -20,14 +20,15 @@ EPOCH_NOW = "epoch_us(timestamp '2024-02-15 00:00:00') / 1e6"
 
 # ---- file changes
 
-FILE_EVENTS = """fe as (select seq, ts, 'N' || user_id || '.md' as path, case event_type when 'click' then 'Modified' when 'error' then 'Deleted' end as kind,
-  case when event_type = 'click' then k % 3 end as mtime from ev where event_type in ('click', 'error')),
+FILE_EVENTS = """fe as (select seq, ts, 'N' || user_id || '.md' as path, case event_type when 'error' then 'Deleted' when 'signup' then 'Created' else 'Modified' end as kind,
+  case when event_type in ('click', 'view') and k % 4 <> 0 then k % 3 end as mtime from ev where event_type <> 'purchase'),
 marks as (select seq, ts, 'N' || user_id || '.md' as path from ev where event_type = 'purchase')"""
 
 
 def file_events(ev):
-    return ev.filter("event_type in ('click', 'error')").selectExpr(
-        "seq", "ts", "'N' || user_id || '.md' as path", "if(event_type = 'click', 'Modified', 'Deleted') as kind", "if(event_type = 'click', k % 3, null) as mtime"
+    return ev.filter("event_type <> 'purchase'").selectExpr(
+        "seq", "ts", "'N' || user_id || '.md' as path", "case event_type when 'error' then 'Deleted' when 'signup' then 'Created' else 'Modified' end as kind",
+        "if(event_type in ('click', 'view') and k % 4 <> 0, k % 3, null) as mtime"
     )
 
 
@@ -47,8 +48,9 @@ def relevant_events(spark, sf):
 
 
 @query("win3_dedupe_mtime", V.with_views("""
-select seq, path, kind, mtime from (select *, lag(kind) over w as pk, lag(mtime) over w as pm from fe window w as (partition by path order by seq))
-where not (kind = 'Modified' and coalesce(pk = 'Modified' and pm = mtime, false))""", V.EVENTS, FILE_EVENTS))
+select seq, path, kind, mtime from (select *, last_value(case when kind = 'Modified' then mtime when kind = 'Deleted' then -1 end ignore nulls)
+  over (partition by path order by seq rows between unbounded preceding and 1 preceding) as known from fe)
+where not (kind = 'Modified' and coalesce(known = mtime, false))""", V.EVENTS, FILE_EVENTS))
 def dedupe_mtime(spark, sf):
     return C.dedupe_mtime(file_events(V.events(spark, sf))).drop("ts")
 
@@ -89,12 +91,11 @@ def event_counts(spark, sf):
 # ---- peers
 
 PEER_EVENTS = """pe as (select seq, ts, 'p' || user_id as peer, case event_type when 'signup' then 'connect' when 'error' then 'disconnect' else 'touch' end as kind,
-  'a' || k as address, case when k % 2 = 0 then 'incoming' else 'outgoing' end as direction, 'r' || k % 4 as reason from ev
-  where event_type in ('signup', 'error', 'view'))"""
+  'a' || k as address, case when k % 2 = 0 then 'incoming' else 'outgoing' end as direction, 'r' || k % 4 as reason from ev)"""
 
 
 def peer_events(ev):
-    return ev.filter("event_type in ('signup', 'error', 'view')").selectExpr(
+    return ev.selectExpr(
         "seq", "ts", "'p' || user_id as peer", "case event_type when 'signup' then 'connect' when 'error' then 'disconnect' else 'touch' end as kind",
         "'a' || k as address", "if(k % 2 = 0, 'incoming', 'outgoing') as direction", "'r' || (k % 4) as reason",
     )
@@ -238,7 +239,7 @@ GOSSIP = """gossip as (select 'p' || (seq % 3) as observer, seq, 'p' || (user_id
   case event_type when 'view' then 'alive' when 'click' then 'suspect' when 'error' then 'dead' else case when k = 7 then 'removed' else 'alive' end end as type,
   case when event_type = 'purchase' and k = 7 then null else k % 5 end as inc,
   case when event_type in ('view', 'purchase') and k % 2 = 1 and not (event_type = 'purchase' and k = 7) then 'a' || k end as addr, 'p' || (k % 20) as via
-  from ev where event_type <> 'signup'),
+  from ev),
 g as (select *, row_number() over (partition by observer, peer_id order by seq) as n from gossip where observer <> peer_id),
 f as (select observer, peer_id, 0::bigint as n, null::bigint as seq, null::varchar as type, null::varchar as st, null::bigint as inc, null::varchar as addr, null::varchar as via, false as changed
   from (select distinct observer, peer_id from g)
@@ -259,7 +260,7 @@ selfs as (select observer, coalesce((select count(*) + greatest(max(inc - j + 1)
 
 
 def gossip(ev):
-    return ev.filter("event_type <> 'signup'").selectExpr(*GOSSIP_SPARK)
+    return ev.selectExpr(*GOSSIP_SPARK)
 
 
 @query("str4_membership", V.with_views("select observer, peer_id, state, incarnation, address, via from members", V.EVENTS, GOSSIP))

@@ -39,7 +39,7 @@ def debounce(spark, sf):
 
 
 @query("str1_debounce_stream", V.with_views(f"select * from quiet where last_us / 1000 + 20000000 <= {CLOSED}", V.EVENTS, E.FILE_EVENTS, DEBOUNCED).replace(
-    "from ev)", "from ev where event_type in ('click', 'error'))"))
+    "from ev)", "from ev where event_type <> 'purchase')"))
 def debounce_stream(spark, sf):
     done = run_available(S.debounce(E.file_events(stream(spark, sf)), "20000 seconds", DELAY), "debounce")
     return done.select("path", "kind", "seq", F.unix_micros("last_ts").alias("last_us"))
@@ -51,7 +51,7 @@ lastk as (select path, arg_max(kind, seq) as kind from fe group by path),
 kept as (select user_id from (select distinct user_id from ev) where 'N' || user_id || '.md' not in (select path from lastk))
 select 'N' || user_id || '.md' as src, 'N' || user_id as src_name, 'old' as tgt_name from kept
 union all select 'N' || user_id || '.md', 'N' || user_id, unnest(['N' || user_id % 7, 'x' || user_id])
-from (select distinct user_id from ev) join lastk on path = 'N' || user_id || '.md' where kind = 'Modified'""".replace("\n, pages_now", "pages_now"), V.EVENTS, E.FILE_EVENTS).replace("\npages_now", ",\npages_now"))
+from (select distinct user_id from ev) join lastk on path = 'N' || user_id || '.md' where kind <> 'Deleted'""".replace("\n, pages_now", "pages_now"), V.EVENTS, E.FILE_EVENTS).replace("\npages_now", ",\npages_now"))
 def index_stream(spark, sf):
     users = V.events(spark, sf).select("user_id").distinct()
     notes = users.selectExpr("'N' || user_id || '.md' as path", "'N' || user_id as name", "'[[N' || (user_id % 7) || ']] [[x' || user_id || ']]' as content")
@@ -63,7 +63,7 @@ def index_stream(spark, sf):
 
 @query("str3_suppress_echo_stream", V.with_views(E.ECHO_SQL, V.EVENTS, E.FILE_EVENTS))
 def suppress_echo_stream(spark, sf):
-    rows = stream(spark, sf).filter("event_type in ('click', 'error', 'purchase')").selectExpr(
+    rows = stream(spark, sf).selectExpr(
         "'N' || user_id || '.md' as path", "seq", "ts", "event_type = 'purchase' as is_mark"
     )
     return run_available(S.suppress_echo_stream(rows, ttl=36000.0), "echo").drop("ts")

@@ -1,11 +1,12 @@
 """Helpers that keep jobs safe when one key holds a large part of the rows.
 
 An ordered computation per key (previous row, value carried forward, running
-total) normally puts every row of a key in one task.  Here the rows of a hot key
-are cut into slices of at most ``rows_per_slice`` consecutive sequence numbers;
-each slice is computed on its own, and what a slice needs from the rows before
-it is taken from one summary row per earlier slice.  The result is the same for
-any slice size.
+total) normally puts every row of a key in one task.  Here all rows are dealt out
+by ranges of (key, order), so a key with very many rows spans several ranges, and
+every range is cut into slices of at most ``rows_per_slice`` rows by rank.  Each
+slice is computed on its own, and what a slice needs from the rows before it is
+taken from one summary row per earlier slice.  There is one way for all keys, and
+the result is the same for any slice size, data size and spacing of the order.
 """
 
 from __future__ import annotations
@@ -19,10 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 1_000_000
-# A hot-key list is broadcast, so its length is fixed here: the keys with the
-# most rows come first, and any key outside holds at most 1/65,536 of the rows.
-MAX_HOT_KEYS = 65_536
-COLD = -1
+# Slices of a range are numbered from the range's number times this.
+RANGE_STEP = 1 << 32
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,42 +65,35 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_slice: int) -> DataFrame:
-    """Keys with more rows than one slice takes, at most ``MAX_HOT_KEYS`` of them."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > rows_per_slice)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-    )
-
-
 def with_slices(
     df: DataFrame,
     keys: list[str],
     seq: str,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Add ``_slice``: -1 for cold keys, else a range of ``rows_per_slice`` numbers.
+    """Add ``_slice``: numbers that ascend with ``seq`` within a key.
 
-    ``seq`` is a unique whole number, so no slice can hold more rows than that.
+    A slice holds at most ``rows_per_slice`` rows of a key, whatever the values of ``seq``.
+    The ranges are written down first: their bounds are sampled, and a plan that used them
+    twice could draw them twice.
     """
-    hot = hot_keys(df.select(*keys), keys, rows_per_slice)
-    return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_slice",
-            F.when(F.col("_rows").isNull(), F.lit(COLD).cast("long")).otherwise(
-                F.floor(F.col(seq) / F.lit(rows_per_slice)).cast("long")
-            ),
-        )
-        .drop("_rows")
+    ranged = cut_lineage(
+        df.repartitionByRange(*keys, seq).withColumn("_range", F.spark_partition_id().cast("long")), "ranges"
     )
+    rank = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(seq)).cast("long") - 1
+    number = F.col("_range") * RANGE_STEP + F.floor(rank / F.lit(rows_per_slice))
+    return ranged.withColumn("_slice", number.cast("long")).drop("_range")
 
 
 def _with_summary(df: DataFrame, keys: list[str], summary: DataFrame) -> DataFrame:
-    return df.join(summary, [*keys, "_slice"], "left")
+    """Join what holds before a slice; only slices behind others of their key have any."""
+    known = summary.filter("_before is not null").select(
+        *(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_key_slice"), "_before"
+    )
+    match = F.col("_slice") == F.col("_key_slice")
+    for i, k in enumerate(keys):
+        match &= F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return df.join(known, match, "left").drop("_key_slice", *(f"_key_{i}" for i in range(len(keys))))
 
 
 def previous_row(
@@ -123,8 +115,7 @@ def previous_row(
     inside = Window.partitionBy(*keys, "_slice").orderBy(seq_order)
     across = Window.partitionBy(*keys).orderBy(slice_order)
     summary = (
-        df.filter(F.col("_slice") != COLD)
-        .groupBy(*keys, "_slice")
+        df.groupBy(*keys, "_slice")
         .agg(edge(packed, F.col(seq)).alias("_edge"))
         .select(*keys, "_slice", F.lag("_edge").over(across).alias("_before"))
     )
@@ -136,17 +127,21 @@ def previous_row(
 
 
 def carried_value(
-    df: DataFrame, keys: list[str], seq: str, value: Column, out: str
+    df: DataFrame, keys: list[str], seq: str, value: Column, out: str, before: bool = False
 ) -> DataFrame:
-    """Add ``out``: the last non-null ``value`` at or before the row in ``seq`` order."""
+    """Add ``out``: the last non-null ``value`` at or before the row in ``seq`` order.
+
+    With ``before`` the row's own value does not count.
+    """
     df = df.withColumn("_value", value)
     inside = (
-        Window.partitionBy(*keys, "_slice").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys, "_slice")
+        .orderBy(seq)
+        .rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     )
     across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     summary = (
-        df.filter(F.col("_slice") != COLD)
-        .groupBy(*keys, "_slice")
+        df.groupBy(*keys, "_slice")
         .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(seq))).alias("_edge"))
         .select(*keys, "_slice", F.last("_edge", ignorenulls=True).over(across).alias("_before"))
     )
@@ -169,8 +164,7 @@ def running_sum(
     )
     across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     summary = (
-        df.filter(F.col("_slice") != COLD)
-        .groupBy(*keys, "_slice")
+        df.groupBy(*keys, "_slice")
         .agg(F.sum("_value").alias("_total"))
         .select(*keys, "_slice", F.sum("_total").over(across).alias("_before"))
     )
@@ -188,35 +182,6 @@ def rank_in_group(
     out: str,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Number the rows of each key 1..n without sorting a hot key in one task.
-
-    Cold keys are numbered in ``order``.  A hot key is spread over hash buckets of
-    about ``rows_per_slice`` rows and numbered bucket after bucket, so the numbers
-    are still dense, unique and repeatable.
-    """
-    hot = hot_keys(df.select(*keys), keys, rows_per_slice)
-    sliced = (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_slice",
-            F.when(F.col("_rows").isNull(), F.lit(COLD).cast("long")).otherwise(
-                F.pmod(
-                    F.xxhash64(order), F.ceil(F.col("_rows") / F.lit(rows_per_slice)) * F.lit(2)
-                )
-            ),
-        )
-        .drop("_rows")
-    )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(order)
-    across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        sliced.filter(F.col("_slice") != COLD)
-        .groupBy(*keys, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_slice", F.sum("_n").over(across).alias("_before"))
-    )
-    return (
-        _with_summary(sliced.withColumn(out, F.row_number().over(inside)), keys, summary)
-        .withColumn(out, (F.col(out) + F.coalesce("_before", F.lit(0))).cast("long"))
-        .drop("_before", "_slice")
-    )
+    """Number the rows of each key 1, 2, ... in ``order``, without one task per key."""
+    sliced = with_slices(df, keys, order, rows_per_slice)
+    return running_sum(sliced, keys, order, F.lit(1).cast("long"), out).drop("_slice")

@@ -201,16 +201,64 @@ def test_peer_registry_with_handshakes(spark, per_slice):
     assert mine == known
 
 
-@pytest.mark.parametrize("per_slice", [3, 10**6])
-def test_copies_are_paired_once(spark, per_slice):
-    files = spark.createDataFrame([(f"n{i}", "same" if i < 20 else str(i)) for i in range(25)], "path string, content string")
-    index = spark.createDataFrame([(f"o{i}", "same" if i < 13 else str(i)) for i in range(30)], "path string, content string")
+@pytest.mark.parametrize("per_slice", [1, 3, 10**6])
+def test_copies_are_paired_in_path_order(spark, per_slice):
+    files = spark.createDataFrame([(f"n{i:02d}", "same" if i < 20 else str(i)) for i in range(25)], "path string, content string")
+    index = spark.createDataFrame([(f"o{i:02d}", "same" if i < 13 else str(i)) for i in range(30)], "path string, content string")
     report = reconcile.reconcile(files, index, per_slice).collect()
-    moved = [r for r in report if r["action"] == "moved"]
-    assert len(moved) == 13 + 5 and len({r["moved_from"] for r in moved}) == 18 == len({r["path"] for r in moved})
+    moved = {r["path"]: r["moved_from"] for r in report if r["action"] == "moved"}
+    assert moved == {f"n{i:02d}": f"o{i:02d}" for i in [*range(13), *range(20, 25)]}
     assert sum(r["action"] == "indexed" for r in report) == 7 and sum(r["action"] == "orphaned" for r in report) == 12
 
 
+@pytest.mark.parametrize("per_slice", [1, 2, 10**6])
+@pytest.mark.parametrize("place", [lambda i: i, lambda i: i * 1_000_003 - 5 * 10**9, lambda i: -i - 1])
+def test_slices_do_not_depend_on_the_numbers(spark, per_slice, place):
+    seqs = sorted(place(i) for i in range(40))
+    data = [(key, seq, i % 5) for key in ("a", None) for i, seq in enumerate(seqs)] + [("b", 7, 1)]
+    df = spark.createDataFrame(data, "k string, seq long, v long").repartition(3)
+    sliced = scale.with_slices(df, ["k"], "seq", per_slice)
+    assert max(r["count"] for r in sliced.groupBy("k", "_slice").count().collect()) <= per_slice
+    out = scale.running_sum(sliced, ["k"], "seq", F.col("v"), "total")
+    out = scale.previous_row(out, ["k"], "seq", ["v"])
+    out = scale.carried_value(out, ["k"], "seq", F.when(F.col("v") == 0, F.col("seq")), "zero")
+    out = scale.carried_value(out, ["k"], "seq", F.when(F.col("v") == 0, F.col("seq")), "earlier", before=True)
+    want = [("b", 7, 1, None, None, None)]
+    for key in ("a", None):
+        total, last, zero = 0, None, None
+        for i, seq in enumerate(seqs):
+            earlier, zero, total = zero, (seq if i % 5 == 0 else zero), total + i % 5
+            want.append((key, seq, total, last, zero, earlier))
+            last = i % 5
+    got = [(r["k"], r["seq"], r["total"], r["prev"] and r["prev"]["v"], r["zero"], r["earlier"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_modified_without_mtime_leaves_what_is_known(spark):
+    data = [(1, "Modified", 5), (2, "Modified", None), (3, "Modified", 5), (4, "Created", None), (5, "Modified", 5), (6, "Deleted", None), (7, "Modified", 5)]
+    events = spark.createDataFrame([(s, "a", k, m) for s, k, m in data], "seq long, path string, kind string, mtime long")
+    for per_slice in (1, 10**6):
+        assert sorted(r["seq"] for r in changes.dedupe_mtime(events, per_slice).collect()) == [1, 2, 4, 6, 7]
+
+
+@pytest.mark.parametrize("per_slice", [1, 10**6])
+def test_large_incarnations_beside_a_removal(spark, per_slice):
+    big = 2**53 + 1
+    data = [(1, "alive", big), (2, "removed", None), (3, "dead", big)]
+    gossip = spark.createDataFrame(
+        [("o", s, k, "p", None, i, "v") for s, k, i in data],
+        "observer string, seq long, type string, peer_id string, address string, incarnation long, from string",
+    )
+    assert [(r["state"], r["incarnation"]) for r in membership.membership(gossip, per_slice).collect()] == [("Dead", big)]
+
+
+def test_query_for_a_note_without_a_vector(spark):
+    notes = make_notes(spark, {"A.md": "x"})
+    queries = spark.createDataFrame([(1, "[[A]]", [1.0, 2.0])], "query_id long, query string, text_vector array<double>")
+    none = spark.createDataFrame([], "path string, vector array<double>")
+    assert [tuple(r["vector"]) for r in search.query_vectors(queries, notes, none).collect()] == [(1.0, 2.0)]
+
+
 def test_reconcile_ignores_key_order_and_line_ends(spark):
     files = spark.createDataFrame([("a", "---\nx: 1\ny: 2\n---\n\nbody"), ("b", "t\r\nu"), ("c", "new")], "path string, content string")
     index = spark.createDataFrame([("a", "---\ny: 2\nx: 1\n---\nbody"), ("b", "t\nu"), ("c", "old")], "path string, content string")
