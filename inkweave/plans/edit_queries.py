@@ -78,7 +78,7 @@ def guard_writes(spark, sf):
 
 MOVES_SPARK = "doc_id as seq, {i}(doc_id % 7 = 0, 'gone/' || path, path) as src, {i}(doc_id % 3 = 0, 'knowledge/' || name || '.md', 'moved/' || name || 'x.md') as dst"
 MOVES = """moves as (select doc_id as seq, case when doc_id % 7 = 0 then 'gone/' || path else path end as src,
-  case when doc_id % 3 = 0 then 'knowledge/' || name || '.md' else 'moved/' || name || 'x.md' end as dst from notes where doc_id % 2 = 0 or doc_id < 100),
+  case when doc_id % 3 = 0 then 'knowledge/' || name || '.md' else 'moved/' || name || 'x.md' end as dst from notes),
 m1 as (select m.*, case when s.path is null then 'source not found' when t.path is not null then 'destination exists' end as e
   from moves m left join notes s on s.path = src left join notes t on t.path = dst),
 m2 as (select *, min(case when e is null then seq end) over (partition by dst) as first from m1),
@@ -86,7 +86,7 @@ guarded as (select seq, src, dst, case when e is null and seq > first then 'dest
 
 
 def moves(spark, sf):
-    return V.notes(spark, sf).filter("doc_id % 2 = 0 or doc_id < 100").selectExpr(
+    return V.notes(spark, sf).selectExpr(
         "doc_id as seq", "if(doc_id % 7 = 0, 'gone/' || path, path) as src",
         "if(doc_id % 3 = 0, 'knowledge/' || name || '.md', 'moved/' || name || 'x.md') as dst",
     )

@@ -80,10 +80,8 @@ def test_unknown_seed_gives_nothing(spark):
 
 
 @pytest.mark.parametrize("limit", [1000, 3])
-def test_top_k_by_brute_force_and_by_blocks(spark, monkeypatch, limit):
-    monkeypatch.setattr(search, "MAX_BROADCAST_QUERIES", limit)
-    monkeypatch.setattr(search, "QUERIES_PER_BLOCK", 4)
-    monkeypatch.setattr(search, "VECTORS_PER_BLOCK", 15)
+def test_top_k_by_brute_force_in_groups(spark, monkeypatch, limit):
+    monkeypatch.setattr(search, "QUERIES_PER_GROUP", limit)
     rng = random.Random(1)
     vecs = {f"p{i:02d}": [rng.gauss(0, 1) for _ in range(4)] for i in range(40)}
     vecs.update({f"copy{i}": vecs["p03"] for i in range(8)})
