@@ -18,6 +18,7 @@ from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -88,6 +89,13 @@ class _ShardWriter:
             self.stream = None
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Write ids and read them back; zstd makes them half as long as they are."""
+    path = new_table_path(df.sparkSession, "tokens")
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``part``, ``before`` (ids before the document in its part), ``n``, ``id``, ``ids``."""
 
@@ -116,9 +124,10 @@ def _encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def _pieces(encoded: DataFrame, length: int, n_sequences: int, key: int, item: int) -> DataFrame:
-    """Pieces of documents with the slot and place they go to."""
+    """Pieces of documents, compressed, with the slot and place they go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             offset, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             first, last = offset // length, (offset + n - 1) // length
@@ -136,7 +145,7 @@ def _pieces(encoded: DataFrame, length: int, n_sequences: int, key: int, item: i
                 for i in range(a, b):
                     data = ids[int(row[i])].as_buffer()
                     at = int(begin[i] - offset[row[i]]) * item
-                    cut.append(data.slice(at, int(stop[i] - begin[i]) * item).to_pybytes())
+                    cut.append(press.compress(data.slice(at, int(stop[i] - begin[i]) * item).to_pybytes()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(slot[a:b]),
@@ -185,7 +194,7 @@ def write_training_order(
     dtype = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
     stride = length * dtype.itemsize
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    encoded = cut_lineage(_encoded(source, vocabulary), "tokens")
+    encoded = _stored(_encoded(source, vocabulary))
     parts = encoded.groupBy("part").agg(F.sum("n").alias("total"))
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut_lineage(
@@ -210,7 +219,7 @@ def write_training_order(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, held, rows = _ShardWriter(folder), None, []
-        fill = np.array([end], dtype).tobytes()
+        fill, unpack = np.array([end], dtype).tobytes(), zstandard.ZstdDecompressor()
 
         def finish() -> None:
             slot, sequence, ids, parts = held
@@ -236,7 +245,7 @@ def write_training_order(
                         finish()
                     held = slot, sequence, [], []
                 held[2].append(doc)
-                held[3].append(ids)
+                held[3].append(unpack.decompress(ids))
             yield flush()
         if held is not None:
             finish()
