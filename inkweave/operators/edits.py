@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.frontmatter import build_content, frontmatter_table
+from ..scale import cut_lineage
 
 # Fixed value: characters of a text shown in a change list.
 SNIPPET = 60
@@ -92,6 +93,7 @@ def preview_edits(notes: DataFrame, requests: DataFrame) -> DataFrame:
 
 def _first_wins(checked: DataFrame, key: str, lost: str) -> DataFrame:
     """Of several accepted requests for one key the one with the lowest ``seq`` stays."""
+    checked = cut_lineage(checked, "checked")  # read twice here, and this is done twice for moves
     winners = checked.filter("error is null").groupBy(key).agg(F.min("seq").alias("_first"))
     late = F.col("error").isNull() & (F.col("seq") > F.col("_first"))
     return (

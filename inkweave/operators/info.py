@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.frontmatter import frontmatter_table
+from ..scale import cut_lineage
 from .links import link_uris
 from .resolve import resolve_refs
 
@@ -20,6 +21,7 @@ def note_info(requests: DataFrame, notes: DataFrame, links: DataFrame, order: st
     found = resolve_refs(requests.select("ref").distinct(), notes, order).select(
         "ref", "ref_name", "found", F.col("uri_path"), paths.ensure_md(F.col("uri_path")).alias("path")
     )
+    found = cut_lineage(found, "found")  # read once for each section
     status = F.when(F.col("found"), "found").otherwise("not found")
     general = found.select(
         "ref",
