@@ -1,9 +1,13 @@
-"""Streams that no registered query covers."""
+"""Streams over several micro-batches, and those that no registered query covers."""
 
 from __future__ import annotations
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
+from inkweave.operators import changes, membership
 from inkweave.streaming import events as S
 from inkweave.streaming.sinks import run_available
 
@@ -26,3 +30,40 @@ def test_handshakes_join_their_connection(spark, tmp_path):
     )
     got = run_available(joined, "handshakes").select("seq", "peer", "address", "direction", F.unix_seconds("since"))
     assert sorted(map(tuple, got.collect())) == [(1, "p", "a1", "incoming", 10), (4, "s", "a3", "incoming", 30)]
+
+
+def in_batches(spark, df, folder, n=4):
+    """A stream that reads the rows of ``df`` in order of ``seq``, one part per micro-batch."""
+    rows = df.orderBy("seq").collect()
+    size = -(-len(rows) // n)
+    for i in range(0, len(rows), size):
+        spark.createDataFrame(rows[i : i + size], df.schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)  # files are read in the order of their times
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_membership_over_several_batches(spark, tmp_path):
+    rng = random.Random(8)
+    kinds = ["alive", "alive", "suspect", "dead", "removed"]
+    data = []
+    for i in range(120):
+        kind = rng.choice(kinds)
+        number = None if kind == "removed" else rng.randrange(4)
+        address = f"a{rng.randrange(3)}" if kind == "alive" and rng.random() < 0.5 else None
+        data.append(("o", i, kind, rng.choice("pqr"), address, number, "v"))
+    df = spark.createDataFrame(data, "observer string, seq long, type string, peer_id string, address string, incarnation long, from string")
+    found = run_available(S.membership_stream(in_batches(spark, df, str(tmp_path / "gossip"))), "members")
+    last = found.groupBy("observer", "peer_id").agg(F.max_by(F.struct("state", "incarnation", "address"), "seq").alias("m"))
+    got = sorted(map(str, last.select("observer", "peer_id", "m.*").collect()))
+    want = membership.membership(df).select("observer", "peer_id", "state", "incarnation", "address")
+    assert got == sorted(map(str, want.collect())) and got
+
+
+def test_echoes_over_several_batches(spark, tmp_path):
+    rng = random.Random(9)
+    data = [(i, rng.choice("ab"), rng.random() < 0.4, 100 + 2 * i) for i in range(80)]
+    df = spark.createDataFrame(data, "seq long, path string, is_mark boolean, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    found = run_available(S.suppress_echo_stream(in_batches(spark, df, str(tmp_path / "rows")), ttl=5.0), "echo")
+    want = changes.suppress_echo(df.filter("is_mark").drop("is_mark"), df.filter("not is_mark").drop("is_mark"), ttl=5.0)
+    rows = lambda x: sorted((r["seq"], r["path"], r["is_echo"]) for r in x.collect())
+    assert rows(found) == rows(want)
