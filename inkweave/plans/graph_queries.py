@@ -235,15 +235,34 @@ def degrees(spark, sf):
     return P.degrees(V.links(spark, sf), V.notes(spark, sf))
 
 
-SEED_SPARK = "name in ('N3', 'N7', 'N11') or name like '%99'"
+# The walks start from the names that most links lead to; their number does not grow with the notes.
+N_SEEDS = 8
+SEEDS_SQL = f"""seeds as (select name as seed from (select distinct name from notes)
+  left join (select tgt_name, count(*) as n from links group by tgt_name) on tgt_name = name order by coalesce(n, 0) desc, name limit {N_SEEDS})"""
 RANK_STEPS = 4
+# The walk of each seed up to the first step that changes it by less than 1e-6 in total.
+CONVERGED_SQL = """walk(step, seed, path, s, change) as (
+  select 0, seed, path, s, 1e9::double from w0
+  union all
+  select step + 1, seed, path, next, sum(abs(next - s)) over (partition by seed) from (
+    select w.step, w.seed, w.path, w.s, 0.85::double * coalesce(v, 0) + 0.15::double * coalesce(r, 0) as next
+    from walk w
+    left join (select seed, b as path, sum(s / d) as v from walk join edges on a = path join deg using (a) group by seed, b) g
+      on g.seed = w.seed and g.path = w.path
+    left join restart x on x.seed = w.seed and x.path = w.path
+    where w.change >= 1e-6 and w.step < 100)),
+final as (select seed, path, arg_max(s, step) as s from walk group by seed, path)"""
+
+
+def popular_names(notes, links):
+    linked = links.groupBy(F.col("tgt_name").alias("seed")).agg(F.count(F.lit(1)).alias("n"))
+    names = notes.select(F.col("name").alias("seed")).distinct()
+    return names.join(linked, "seed", "left").orderBy(F.desc(F.coalesce("n", F.lit(0))), "seed").limit(N_SEEDS).select("seed")
 
 
 def _rank_steps_sql() -> str:
     """The walk unrolled for a fixed number of steps, over materialised edges."""
-    steps = ["""deg as (select a, count(*) as d from edges group by a),
-seeds as (select distinct name as seed from notes where """ + SEED_SPARK + """),
-restart as (select seed, path, 1.0::double / count(*) over (partition by seed) as r from seeds join notes on name = seed),
+    steps = ["deg as (select a, count(*) as d from edges group by a)", SEEDS_SQL, """restart as (select seed, path, 1.0::double / count(*) over (partition by seed) as r from seeds join notes on name = seed),
 w0 as (select seed, path, 1.0::double / (select count(*) from notes) as s from seeds, notes)"""]
     for i in range(RANK_STEPS):
         steps.append(f"""g{i} as (select seed, b as path, sum(s / d) as v from w{i} join edges on a = path join deg using (a) group by seed, b),
@@ -255,9 +274,8 @@ w{i + 1} as (select seed, path, 0.85::double * coalesce(v, 0) + 0.15::double * c
 @query("agg3_pagerank_fixed_steps", V.with_views(
     f"select seed, path, round(s, 9) as score from w{RANK_STEPS}", *NL, V.EDGES, _rank_steps_sql()))
 def pagerank_fixed_steps(spark, sf):
-    notes = V.notes(spark, sf).select("path", "name")
-    seeds = notes.filter(SEED_SPARK).select(F.col("name").alias("seed"))
-    ranking = P.personalized_pagerank(V.links(spark, sf), notes, seeds, tol=0.0, max_iter=RANK_STEPS)
+    notes, links = V.notes(spark, sf).select("path", "name"), V.links(spark, sf)
+    ranking = P.personalized_pagerank(links, notes, popular_names(notes, links), tol=0.0, max_iter=RANK_STEPS)
     return P.path_scores(ranking).withColumn("score", F.round("score", 9))
 
 
@@ -266,17 +284,18 @@ select seed, name, round(max(s / top), 6) as score
 from (select seed, path, s, max(s) over (partition by seed) as top from w{RANK_STEPS}) join notes using (path)
 group by seed, name""", *NL, V.EDGES, _rank_steps_sql()))
 def pagerank_by_name(spark, sf):
-    notes = V.notes(spark, sf).select("path", "name")
-    seeds = notes.filter(SEED_SPARK).select(F.col("name").alias("seed"))
-    ranking = P.personalized_pagerank(V.links(spark, sf), notes, seeds, tol=0.0, max_iter=RANK_STEPS)
+    notes, links = V.notes(spark, sf).select("path", "name"), V.links(spark, sf)
+    ranking = P.personalized_pagerank(links, notes, popular_names(notes, links), tol=0.0, max_iter=RANK_STEPS)
     return P.name_scores(ranking).withColumn("score", F.round("score", 6))
 
 
-@query("agg3_pagerank_converged")
+@query("agg3_pagerank_converged", V.with_views("""
+select seed, name, round(max(s / top), 6) as score
+from (select seed, path, s, max(s) over (partition by seed) as top from final) join notes using (path)
+group by seed, name""", *NL, V.EDGES, _rank_steps_sql(), CONVERGED_SQL))
 def pagerank_converged(spark, sf):
-    notes = V.notes(spark, sf).select("path", "name")
-    seeds = notes.filter(SEED_SPARK).select(F.col("name").alias("seed"))
-    ranking = P.personalized_pagerank(V.links(spark, sf), notes, seeds)
+    notes, links = V.notes(spark, sf).select("path", "name"), V.links(spark, sf)
+    ranking = P.personalized_pagerank(links, notes, popular_names(notes, links))
     return P.name_scores(ranking).withColumn("score", F.round("score", 6))
 
 
