@@ -40,6 +40,7 @@ CROWDED = 1_000
 BLOCK = 1_024
 SEEN_CLASSES = 100_000
 MEMBERS_PER_TASK = 512
+MAX_SENT = 500_000  # two numbers each: some 16 MB in a task
 MAX_SIZE = 1 << 40
 
 
@@ -194,6 +195,19 @@ def _sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "cls long, grams binary")
 
 
+def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """The sets of the classes in ``pairs``, from the texts of their representatives.
+
+    Up to ``MAX_SENT`` of them their names are sent to where the texts are; beyond that texts and
+    names are joined by a shuffle.  A class may come twice where an id does.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    need = cut_lineage(classes.join(ends, "cls", "left_semi").select(F.col("rep").alias("_id"), "cls"), "need")
+    send = F.broadcast if need.count() <= MAX_SENT else (lambda df: df)
+    texts = docs.join(send(need.select("_id").distinct()), "_id", "left_semi")
+    return cut_lineage(_sets(texts, "_text", n).join(send(need.select("cls")), "cls", "left_semi"), "sets")
+
+
 def _shared(keys: DataFrame) -> DataFrame:
     """The rows of keys that several classes have, and how many rows the key has.
 
@@ -401,18 +415,11 @@ def ngram_jaccard_classes(
         "classes",
     )
     shared = cut_lineage(_shared(_keys(docs, text_col, n, num, den)), "shared")
-    need = classes.join(shared.select("cls").distinct(), "cls", "left_semi").select("cls", "rep")
-    chosen = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(
-        need.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi"
-    )
-    sets = cut_lineage(
-        _sets(chosen, "_text", n).join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets"
-    )
     rows = cut_lineage(_without_crowded(shared, Bands(num, den)), "keys")
     near = cut_lineage(_may_link(_stars(rows), classes, num, den), "near")
-    edges = cut_lineage(_verify(near, sets, num, den), "links")
+    edges = cut_lineage(_verify(near, _sets_of(near, classes, docs, n), num, den), "links")
     left = cut_lineage(_left_over(rows, components(edges), classes, num, den), "left")
-    groups = components(edges.union(_verify(left, sets, num, den)))
+    groups = components(edges.union(_verify(left, _sets_of(left, classes, docs, n), num, den)))
     placed = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "rep", F.coalesce("component", "cls").alias("root")
     )
