@@ -10,7 +10,8 @@ link:
 
 * copies of one set are one class, found by one aggregate, before any key is joined;
 * blank parts are keys only of sketches with ``spare + 1`` blank parts or more;
-* a sketch with at most ``spare`` crowded keys drops these, for another key must agree too.
+* a sketch drops its crowded keys where they and its blank parts are at most ``spare`` together, for
+  another key must agree too.
 
 No pairs of a group are sent anywhere.  First every key's most connected member, the likely
 original of a group of near copies, meets the others, which finds most components with one pair per
@@ -90,13 +91,8 @@ def dense_sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(parity.reshape(n, bits), axis=1).view(np.int64)
 
 
-def part_keys(
-    sets: np.ndarray, first: np.ndarray, bands: Bands, up: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys and the set each belongs to, for the own band (0) or the next one (1).
-
-    The number of the band is in the low eight bits of a key.
-    """
+def _filled_parts(sets: np.ndarray, first: np.ndarray, bands: Bands, up: int) -> tuple[np.ndarray, ...]:
+    """Band, use and number of parts of each set; set, number and content of each part that is not blank."""
     sizes = np.diff(first)
     band = np.minimum(bands.of(np.maximum(sizes, 1)) + up, len(bands.parts) - 1)
     use = (sizes > 0) & (bands.diff[band] > 0)
@@ -112,8 +108,24 @@ def part_keys(
     parity = np.bitwise_xor.reduceat(bit, start) if len(start) else bit
     start, parity = start[parity != 0], parity[parity != 0]
     who = owner[start]
-    which = slot[start] - base[who]
-    blank = k - np.bincount(who, minlength=len(sizes))
+    return band, use, k, who, slot[start] - base[who], parity
+
+
+def blank_parts(sets: np.ndarray, first: np.ndarray, bands: Bands, up: int) -> np.ndarray:
+    """How many parts of each sketch are blank, in the own band (0) or the next one (1)."""
+    _, _, k, who, _, _ = _filled_parts(sets, first, bands, up)
+    return k - np.bincount(who, minlength=len(k))
+
+
+def part_keys(
+    sets: np.ndarray, first: np.ndarray, bands: Bands, up: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys and the set each belongs to, for the own band (0) or the next one (1).
+
+    The number of the band is in the low eight bits of a key.
+    """
+    band, use, k, who, which, parity = _filled_parts(sets, first, bands, up)
+    blank = k - np.bincount(who, minlength=len(k))
     for i in np.flatnonzero(use & (blank >= k - bands.diff[band])):
         missing = np.setdiff1d(np.arange(k[i]), which[who == i])
         who = np.concatenate([who, np.full(len(missing), i)])
@@ -125,8 +137,9 @@ def part_keys(
     return keys, who
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def _members(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
         for batch in batches:
             for part in slices(batch.column(1)):
                 sets, first = shingle_sets(part, n)
@@ -140,12 +153,13 @@ def _members(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                         pa.FixedSizeListArray.from_arrays(
                             pa.array(sketch.ravel()), SKETCH_WORDS
                         ).cast(pa.list_(pa.int64())),
+                        *(pa.array(blank_parts(sets, first, bands, up)) for up in (0, 1)),
                     ],
-                    ["id", "n", "text_key", "cls", "sketch"],
+                    ["id", "n", "text_key", "cls", "sketch", "blank", "blank_up"],
                 )
 
     return docs.select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col)).mapInArrow(
-        run, "id long, n long, text_key long, cls long, sketch array<long>"
+        run, "id long, n long, text_key long, cls long, sketch array<long>, blank long, blank_up long"
     )
 
 
@@ -226,13 +240,23 @@ def _shared(keys: DataFrame) -> DataFrame:
     )
 
 
-def _without_crowded(shared: DataFrame, bands: Bands) -> DataFrame:
-    """Leave out crowded keys of the sketches that have at most ``spare`` of them."""
+def _without_crowded(shared: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
+    """Leave out crowded keys of the sketches where they and the blank parts are at most ``spare``.
+
+    All blank parts count, also where they are keys: the other sketch may not have sent its own.  So of
+    a linked pair that agrees in ``spare + 1`` parts, either one agrees that is neither blank nor
+    crowded, or both sketches keep their crowded keys.
+    """
     crowded = shared.filter(F.col("size") > CROWDED).withColumn("band", F.pmod("key", F.lit(256)).cast("int"))
     spare = F.element_at(F.lit([int(s) for s in bands.spare]), F.col("band") + 1)
-    many = crowded.groupBy("cls", "band").agg(F.count("*").alias("crowds")).filter(F.col("crowds") > spare)
+    many = (
+        crowded.groupBy("cls", "band", "up")
+        .agg(F.count("*").alias("crowds"))
+        .join(classes.select("cls", "blank", "blank_up"), "cls")
+        .filter(F.col("crowds") + F.when(F.col("up") == 0, F.col("blank")).otherwise(F.col("blank_up")) > spare)
+    )
     return shared.filter(F.col("size") <= CROWDED).union(
-        crowded.join(many, ["cls", "band"], "left_semi").select(*shared.columns)
+        crowded.join(many, ["cls", "band", "up"], "left_semi").select(*shared.columns)
     )
 
 
@@ -407,15 +431,18 @@ def ngram_jaccard_classes(
         raise ValueError("need n >= 1 and 0 < num <= den")
     docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     id_col, text_col = "_id", "_text"
-    members = cut_lineage(_members(docs, id_col, text_col, n), "members")
+    members = cut_lineage(_members(docs, id_col, text_col, n, num, den), "members")
     classes = cut_lineage(
         members.filter("n > 0")
         .groupBy("cls")
-        .agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")),
+        .agg(
+            F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
+            F.min("blank").alias("blank"), F.min("blank_up").alias("blank_up"),
+        ),
         "classes",
     )
     shared = cut_lineage(_shared(_keys(docs, text_col, n, num, den)), "shared")
-    rows = cut_lineage(_without_crowded(shared, Bands(num, den)), "keys")
+    rows = cut_lineage(_without_crowded(shared, classes, Bands(num, den)), "keys")
     near = cut_lineage(_may_link(_stars(rows), classes, num, den), "near")
     edges = cut_lineage(_verify(near, _sets_of(near, classes, docs, n), num, den), "links")
     left = cut_lineage(_left_over(rows, components(edges), classes, num, den), "left")

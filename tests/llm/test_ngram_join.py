@@ -68,6 +68,19 @@ def test_group_of_near_copies_in_blocks(spark, monkeypatch):
     assert found(df, n=4, num=85) == brute(rows, 4, 85, 100)
 
 
+def test_hot_groups_of_short_texts(spark, monkeypatch):
+    """Blank parts that are not sent and crowded keys that are dropped must not add up to more than the spare parts."""
+    monkeypatch.setattr(ngram_join, "CROWDED", 12)
+    rows = []
+    for length in range(10, 24):
+        for number in range(4):
+            base = prose(length, 1_000 * length + number)
+            rows += [(len(rows) + i, f"{base} {prose(1, 31 * i + number)}{i}") for i in range(24)]
+            rows.append((len(rows), base))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(df, n=4, num=85) == brute(rows, 4, 85, 100)
+
+
 def test_empty_table(empty):
     assert found(empty) == []
 
