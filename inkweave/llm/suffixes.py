@@ -2,10 +2,12 @@
 
 Suffixes are kept only at minimisers: positions whose ``GRAM``-word hash is the least of some
 ``SPAN`` neighbouring ones, so any passage of ``GRAM + SPAN - 1`` words keeps the same suffixes
-wherever it stands.  Suffixes whose gram occurs once are left out by a count.  The rest, with the
-words to their right and left, are sorted over the whole cluster by gram and right context; each is
-compared with its nearest neighbours, the matches are extended left and right, and overlapping
-matches of a text are joined, which extends them over any length.
+wherever it stands.  Suffixes whose gram occurs once are left out by a count.  Those whose gram up to
+``NEIGHBOURS`` suffixes share are sorted over the whole cluster, with the words to their right and
+left, by gram and right context; all of one gram are compared with each other and the matches are
+extended left and right.  For more frequent grams no suffix could meet all others: windows of
+``min_words`` words in which every span has such a gram as its least are matched by their hash.
+Overlapping matches of a text are joined, which extends them over any length.
 
 Copies of a whole text count once here and are reported by their text hash.
 """
@@ -16,13 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.scale import cut_lineage
 
-from .words import Slice, slices, windows
+from .words import Slice, mix, slices, windows
 
 MIN_WORDS = 50
 GRAM = 10
@@ -83,18 +84,45 @@ def _suffixes(docs: DataFrame, gram: int, span: int, min_words: int) -> DataFram
     return docs.select("text", "text_key").mapInArrow(run, "gram long, text_key long, place long")
 
 
-def _contexts(chosen: DataFrame, gram: int) -> DataFrame:
-    """The suffixes of each text with 31-bit codes of the words to their right and left."""
+def _hot_windows(part: Slice, words: np.ndarray, hot: np.ndarray, gram: int, span: int, min_words: int) -> tuple[np.ndarray, ...]:
+    """Text, first word and hash of each window of ``min_words`` words whose least grams are all in ``hot``.
+
+    A window with another least gram has a suffix there that meets all others with this gram.
+    """
+    hashes, first = windows(words, part.first_word, gram)
+    text = np.repeat(np.arange(part.n_texts), np.diff(first))
+    if len(hot) == 0 or len(hashes) <= min_words - gram:
+        return text[:0], first[:0], hashes[:0]
+    need = np.isin(_sliding(hashes, span, np.minimum), hot)
+    need = _sliding(need, min_words - gram - span + 2, np.logical_and)
+    at = np.flatnonzero(need & (text[: len(need)] == text[min_words - gram :]))
+    text, place = text[at], at - first[text[at]]
+    word = part.first_word[text] + place
+    found = np.full(len(at), min_words, np.uint64)
+    for i in range(min_words):
+        with np.errstate(over="ignore"):
+            found = mix(found + words[word + i])
+    return text, place, found
+
+
+def _contexts(chosen: DataFrame, gram: int, span: int, min_words: int) -> DataFrame:
+    """The suffixes of each text with 31-bit codes of the words to their right and left.
+
+    Windows around frequent grams come as rows without these codes, their hash as the gram.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["gram", "right", "left", "text_key", "place"]
         for batch in batches:
-            lists = batch.column(2)
             for part in slices(batch.column(0)):
-                codes = (part.word_hashes(fold=True) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                own = lists.slice(part.first, part.n_texts)
-                place = own.flatten().to_numpy(zero_copy_only=False)
-                text = np.repeat(np.arange(part.n_texts), own.value_lengths().to_numpy(zero_copy_only=False))
-                hashes, first = windows(part.word_hashes(fold=True), part.first_word, gram)
+                words = part.word_hashes(fold=True)
+                codes = (words >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                hashes, first = windows(words, part.first_word, gram)
+                (place, text), (hot, hot_text) = (
+                    (own.flatten().to_numpy(zero_copy_only=False),
+                     np.repeat(np.arange(part.n_texts), own.value_lengths().to_numpy(zero_copy_only=False)))
+                    for own in (batch.column(i).slice(part.first, part.n_texts) for i in (2, 3))
+                )
                 for a in range(0, len(place), 8192):
                     p, t = place[a : a + 8192], text[a : a + 8192]
                     at = part.first_word[t] + p
@@ -113,10 +141,17 @@ def _contexts(chosen: DataFrame, gram: int) -> DataFrame:
                             batch.column(1).take(pa.array(t + part.first)),
                             pa.array(p, pa.int64()),
                         ],
-                        ["gram", "right", "left", "text_key", "place"],
+                        names,
                     )
+                known = np.unique(hashes[first[hot_text] + hot.astype(np.int64)]) if len(hot) else hashes[:0]
+                t, p, found = _hot_windows(part, words, known, gram, span, min_words)
+                none = pa.nulls(len(t), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.view(np.int64)), none, none, batch.column(1).take(pa.array(t + part.first)), pa.array(p, pa.int64())],
+                    names,
+                )
 
-    return chosen.select("text", "text_key", "places").mapInArrow(
+    return chosen.select("text", "text_key", "places", "hot").mapInArrow(
         run, "gram long, right binary, left binary, text_key long, place long"
     )
 
@@ -131,42 +166,18 @@ def _table(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _neighbours(suffixes: DataFrame, min_words: int) -> DataFrame:
-    """Matches of each suffix with those before it in its task, and the edges of the task."""
-    kinds = [pa.int64()] * 5 + [pa.binary(), pa.binary()]
-    names = ["task", "text_key", "a", "b", "gram", "right", "left"]
+    """Matches of each suffix with those before it in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, last, begun = TaskContext.get().partitionId(), None, False
+        last = None
         for batch in batches:
-            if len(batch) == 0:
-                continue
             own = pa.Table.from_batches([batch])
-            if not begun:
-                begun = True
-                yield edge(own.slice(0, NEIGHBOURS), task, 0)
             both = own if last is None else pa.concat_tables([last, own])
-            yield matches(both)
+            found = _spans(*(both.column(i) for i in range(5)), min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["text_key", "a", "b"])
             last = both.slice(max(0, both.num_rows - NEIGHBOURS))
-        if last is not None:
-            yield edge(last, task, 1)
-
-    def edge(rows: pa.Table, task: int, end: int) -> pa.RecordBatch:
-        n, rows = rows.num_rows, rows.combine_chunks()
-        fixed = [pa.array([v] * n, pa.int64()) for v in (task, end)]
-        gram, right, left, key, place = (rows.column(i).combine_chunks() for i in range(5))
-        return pa.RecordBatch.from_arrays([fixed[0], key, place, fixed[1], gram, right, left], names)
-
-    def matches(both: pa.Table) -> pa.RecordBatch:
-        spans = _spans(*(both.column(i) for i in range(5)), min_words)
-        n = len(spans[0])
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(n, kinds[0]), *(pa.array(x, pa.int64()) for x in spans), *(pa.nulls(n, k) for k in kinds[4:])],
-            names,
-        )
 
-    return suffixes.mapInArrow(
-        run, "task long, text_key long, a long, b long, gram long, right binary, left binary"
-    )
+    return suffixes.mapInArrow(run, "text_key long, a long, b long")
 
 
 def _spans(gram, right, left, key, place, min_words: int) -> list[np.ndarray]:
@@ -185,25 +196,6 @@ def _spans(gram, right, left, key, place, min_words: int) -> list[np.ndarray]:
     return list(np.unique(spans, axis=0).T)
 
 
-def _over_edges(edges: DataFrame, min_words: int) -> DataFrame:
-    """Matches of the last suffixes of a task with the first ones of the next task with any."""
-    tasks = edges.select("task").distinct()
-    number = tasks.select(F.col("task").alias("_task"), F.row_number().over(Window.orderBy("task")).alias("_number"))
-    bound = edges.join(number, F.col("task") == F.col("_task")).select(
-        (F.col("_number") + F.col("b")).alias("border"), "gram", "right", "left", "text_key",
-        F.col("a").alias("place"),
-    )
-
-    def run(rows: pa.Table) -> pa.Table:
-        order = [("gram", "ascending"), ("right", "ascending"), ("text_key", "ascending"), ("place", "ascending")]
-        rows = rows.sort_by(order)
-        found = _spans(*(rows.column(c) for c in ("gram", "right", "left", "text_key", "place")), min_words)
-        return pa.table([pa.array(x, pa.int64()) for x in found], ["text_key", "a", "b"])
-
-    # A border has two times NEIGHBOURS rows at most.
-    return bound.groupBy("border").applyInArrow(run, "text_key long, a long, b long")
-
-
 def _joined(spans: DataFrame) -> DataFrame:
     """Overlapping spans of a text made one."""
 
@@ -260,24 +252,48 @@ def repeated_passages(
     )
     suffixes = cut_lineage(_suffixes(source, gram, span, min_words), "suffixes")
     at = F.struct("text_key", "place")
-    repeated = suffixes.groupBy("gram").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo <> hi")
+    repeated = cut_lineage(
+        suffixes.groupBy("gram")
+        .agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("times"))
+        .filter("lo <> hi")
+        .select("gram", "times"),
+        "repeated",
+    )
+    # Copies of a text are one here, so the rows of a gram are only a bound.
+    frequent = (
+        suffixes.join(repeated.filter(F.col("times") > NEIGHBOURS), "gram", "left_semi")
+        .distinct()
+        .groupBy("gram")
+        .agg((F.count("*") > NEIGHBOURS).alias("often"))
+        .filter("often")
+    )
+    repeated = repeated.join(frequent, "gram", "left").select("gram", F.coalesce("often", F.lit(False)).alias("often"))
     places = (
-        suffixes.join(repeated.select("gram"), "gram", "left_semi")
+        suffixes.join(repeated, "gram")
         .groupBy("text_key")  # no more suffixes than one text has
-        .agg(F.sort_array(F.collect_set("place")).alias("places"))
+        .agg(
+            F.sort_array(F.collect_set(F.when(~F.col("often"), F.col("place")))).alias("places"),
+            F.collect_set(F.when(F.col("often"), F.col("place"))).alias("hot"),
+        )
     )
     wanted = places.join(texts.select("text_key", "rep"), "text_key").withColumnsRenamed(
         {"text_key": "_key", "rep": "_rep"}
     )
     same = F.col("id").eqNullSafe(F.col("_rep")) & (F.col("text_key") == F.col("_key"))
-    chosen = source.join(wanted, same).select("text", "text_key", "places")
-    contexts = cut_lineage(_contexts(chosen, gram).distinct(), "contexts")
-    ordered = contexts.repartitionByRange("gram", "right", "text_key", "place").sortWithinPartitions(
+    chosen = source.join(wanted, same).select("text", "text_key", "places", "hot")
+    contexts = cut_lineage(_contexts(chosen, gram, span, min_words).distinct(), "contexts")
+    # A gram has up to NEIGHBOURS suffixes here, all of them in one task.
+    ordered = contexts.filter("right is not null").repartitionByRange("gram").sortWithinPartitions(
         "gram", "right", "text_key", "place"
     )
-    found = cut_lineage(_neighbours(ordered, min_words), "matches")
-    spans = found.filter("task is null").select("text_key", "a", "b")
-    spans = spans.union(_over_edges(found.filter("task is not null"), min_words))
+    spans = cut_lineage(_neighbours(ordered, min_words), "matches")
+    hot = contexts.filter("right is null").select("gram", "text_key", "place")
+    again = hot.groupBy("gram").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo <> hi")
+    spans = spans.union(
+        hot.join(again, "gram", "left_semi").select(
+            "text_key", F.col("place").alias("a"), (F.col("place") + min_words).alias("b")
+        )
+    )
     spans = spans.union(
         texts.filter((F.col("copies") > 1) & (F.col("n_words") >= min_words)).select(
             "text_key", F.lit(0).cast("long").alias("a"), F.col("n_words").alias("b")

@@ -48,6 +48,18 @@ def test_passage_between_different_texts(spark, empty):
     assert repeated_passages(empty).count() == 0
 
 
+def test_rare_passage_before_a_frequent_tail(spark):
+    """The words to the left of a frequent sentence decide, and its suffixes are too many to meet each other."""
+    tail = prose(40, 5)
+    texts = [f"{prose(60, 300 + i)} {tail} {prose(20, 900 + i)}" for i in range(120)]
+    texts += [f"{prose(40, 1_500 + i)} {prose(15, 2_000 + i // 2)} {tail} {prose(20, 2_500 + i)}" for i in range(40)]
+    rows = list(enumerate(texts))
+    got = collections.defaultdict(set)
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        got[r.id] |= set(range(r.first_word, r.end_word))
+    assert got == {i: spots for i, spots in covered(rows, 50).items() if spots} and len(got) == 40
+
+
 def test_leaks(spark, documents, messy, empty):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     got = {(r.id, r.item) for r in benchmark_leaks(documents, items).collect()}
