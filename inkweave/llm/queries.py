@@ -11,7 +11,7 @@ from inkweave.scale import cut_lineage
 from .chat import format_chats, read_back
 from .decontaminate import benchmark_leaks
 from .licenses import license_scan
-from .line_dedup import repeated_units
+from .line_dedup import cleaned_texts, repeated_units
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_classes
 from .quality import quality_rules
@@ -52,8 +52,11 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_units(table(spark, sf_dir, "documents"))
-    return found.withColumnsRenamed({"id": "doc_id", "kept_id": "kept_doc_id"})
+    docs = table(spark, sf_dir, "documents")
+    found = cut_lineage(repeated_units(docs), "repeats").withColumnsRenamed({"id": "doc_id", "kept_id": "kept_doc_id"})
+    cleaned = cleaned_texts(docs, found.withColumnRenamed("doc_id", "id")).withColumnRenamed("text_key", "_key")
+    same = found["doc_id"].eqNullSafe(cleaned["id"]) & (found["text_key"] == cleaned["_key"])
+    return found.join(cleaned, same).drop("id", "_key")
 
 
 @query

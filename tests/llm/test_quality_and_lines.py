@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from llm_helpers import prose, words
 
+from inkweave.llm import queries
 from inkweave.llm.line_dedup import repeated_units, without_repeats
 from inkweave.llm.quality import js_distance, quality_rules
 
@@ -78,6 +79,23 @@ def test_repeated_lines(documents, messy):
     assert repeated_units(messy, min_words=1).count() > 0
 
 
+def test_query_takes_all_lines_and_cleans(spark, documents):
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    got = queries.op4_line_dedup(spark, "/root/testdata/sf0.001").collect()
+    want = lines_of(list(texts.items()), 1)
+    assert sorted(((r.doc_id, r.unit, r.start, r.length, r.kept_doc_id, r.kept_unit) for r in got), key=str) == want
+    assert any(r.words < 15 for r in got)
+    gone = collections.defaultdict(set)
+    for doc, unit, *_ in want:
+        gone[doc].add(unit)
+    left = {
+        d: "".join(x + "\n" * (i + 1 < t.count("\n") + 1) for i, x in enumerate(t.split("\n")) if i not in gone[d])
+        for d, t in texts.items() if d in gone
+    }
+    rows = spark.createDataFrame(list(left.items()), "doc_id long, text string").selectExpr("doc_id", "length(text) n", "xxhash64(text) h")
+    assert {(r.doc_id, r.cleaned_length, r.cleaned_digest) for r in got} == {tuple(r) for r in rows.collect()}
+
+
 def test_cut_lines_and_paragraphs(spark, empty):
     line = "alpha beta gamma delta"
     rows = [(1, f"{line}\nother line here now\n{line.upper()}  \nend", "x"), (2, f"é 日本\n{line}", "y"), (3, None, "z"), (3, None, "z")]
