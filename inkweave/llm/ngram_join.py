@@ -210,16 +210,20 @@ def _sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
 
 
 def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """The sets of the classes in ``pairs``, from the texts of their representatives.
+    """The sets of the classes in ``pairs``, each from the text of its representative.
 
-    Up to ``MAX_SENT`` of them their names are sent to where the texts are; beyond that texts and
-    names are joined by a shuffle.  A class may come twice where an id does.
+    The representative is named by id, which may be null, and text hash.  Up to ``MAX_SENT`` of them
+    their names are sent to where the texts are; beyond that texts and names are joined by a shuffle.
+    Only the texts of repeated rows are made single.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    need = cut_lineage(classes.join(ends, "cls", "left_semi").select(F.col("rep").alias("_id"), "cls"), "need")
+    need = cut_lineage(classes.join(ends, "cls", "left_semi").select("cls", "rep", "rep_key", "again"), "need")
     send = F.broadcast if need.count() <= MAX_SENT else (lambda df: df)
-    texts = docs.join(send(need.select("_id").distinct()), "_id", "left_semi")
-    return cut_lineage(_sets(texts, "_text", n).join(send(need.select("cls")), "cls", "left_semi"), "sets")
+    same = F.col("_id").cast("long").eqNullSafe(F.col("rep")) & (F.xxhash64("_text") == F.col("rep_key"))
+    texts = docs.join(send(need), same).select("_text", "rep", "rep_key", "again")
+    single = texts.filter("not again").select("_text")
+    several = texts.filter("again").dropDuplicates(["rep", "rep_key"]).select("_text")
+    return cut_lineage(_sets(single.union(several), "_text", n), "sets")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -436,11 +440,22 @@ def ngram_jaccard_classes(
         members.filter("n > 0")
         .groupBy("cls")
         .agg(
-            F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
+            F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_key"))).alias("named"),
+            F.min("text_key").alias("least_key"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
             F.min("blank").alias("blank"), F.min("blank_up").alias("blank_up"),
+        )
+        .select(
+            "cls", F.col("named.id").alias("rep"), F.coalesce("named.text_key", "least_key").alias("rep_key"),
+            "n", "sketch", "blank", "blank_up",
         ),
         "classes",
     )
+    repeated = members.groupBy("id", "text_key").agg(F.count("*").alias("times")).filter("times > 1")
+    twice = F.col("rep").eqNullSafe(F.col("id")) & (F.col("rep_key") == F.col("text_key"))
+    classes = cut_lineage(
+        classes.join(repeated, twice, "left").drop("id", "text_key").withColumn("again", F.col("times").isNotNull()),
+        "classes",
+    )
     shared = cut_lineage(_shared(_keys(docs, text_col, n, num, den)), "shared")
     rows = cut_lineage(_without_crowded(shared, classes, Bands(num, den)), "keys")
     near = cut_lineage(_may_link(_stars(rows), classes, num, den), "near")

@@ -81,6 +81,24 @@ def test_hot_groups_of_short_texts(spark, monkeypatch):
     assert found(df, n=4, num=85) == brute(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("sent", [3, 500_000])
+def test_near_copies_without_ids(spark, monkeypatch, sent):
+    """Texts that only rows without an id have are linked, and link others."""
+    monkeypatch.setattr(ngram_join, "MAX_SENT", sent)
+    base, rows = prose(120, 21).split(), []
+    for i in range(0, 16, 4):  # a chain in which only neighbours link
+        text = " ".join([f"w{j}" for j in range(i)] + base[i:])
+        rows += [(None, text)] * 3 if i in (4, 8) else [(50 - i, text)]
+    lone = prose(60, 22).split()
+    rows += [(None, " ".join(lone)), (None, " ".join([*lone, "more"])), (1, prose(60, 23)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 4, 85, 100)
+    assert (50, 117, 38) in want
+    got = ngram_jaccard_classes(df, n=4, num=85).collect()
+    assert sorted(((r.id, r.n_shingles, r.component) for r in got), key=str) == want
+    assert len({r.cls for r in got if r.component == 38}) == 4
+
+
 def test_empty_table(empty):
     assert found(empty) == []
 
