@@ -12,6 +12,7 @@ from .chat import format_chats, read_back
 from .decontaminate import benchmark_leaks
 from .licenses import license_scan
 from .line_dedup import cleaned_texts, repeated_units
+from .minhash import minhash_classes
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_classes
 from .quality import quality_rules
@@ -115,6 +116,14 @@ def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+@query
+def op13_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_classes(table(spark, sf_dir, "documents"), n=2, num=80, den=100)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept"
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
