@@ -15,6 +15,7 @@ from .line_dedup import cleaned_texts, repeated_units
 from .minhash import minhash_classes
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_classes
+from .periodic import periodic_runs
 from .quality import quality_rules
 from .suffixes import repeated_passages
 from .toxicity import fit_toxicity, held_out, score_toxicity
@@ -116,6 +117,36 @@ def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """Every tenth text (by the checksum of its id) repeats a stretch of its words up to its end."""
+    checksum = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, a, p = F.size("w"), F.col("a"), F.col("p")
+    again = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    return (
+        docs.withColumn("w", F.when(checksum % 10 == 0, words))
+        .withColumn("g", F.when(n > 0, F.floor(checksum / 10)))
+        .withColumn("a", F.pmod("g", n).cast("int"))
+        .withColumn("p", (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int"))
+        .select("doc_id", F.when(F.col("g").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+    )
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.col("strongest")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query
 def op13_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_classes(table(spark, sf_dir, "documents"), n=2, num=80, den=100)
