@@ -17,6 +17,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_classes
 from .periodic import periodic_runs
 from .quality import quality_rules
+from .ranked_search import ranked_search
 from .suffixes import repeated_passages
 from .toxicity import fit_toxicity, held_out, score_toxicity
 from .training_order import write_training_order
@@ -117,6 +118,34 @@ def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+@query
+def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+ORACLES["op11_dual_tree"] = r"""
+with terms as (
+  select doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+tf as (select doc_id, term, count(*) as tf from terms group by all),
+size as (select doc_id, count(*)::bigint as n from terms group by all),
+stats as (select count(*)::bigint as docs, sum(n)::bigint as total from size),
+m as (select doc_id, 25 + (75 * n * docs) // total as m from size, stats),
+weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w
+  from (select term, count(*) as df from tf group by all), stats),
+asked as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+scored as (
+  select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from asked join weights using (term) join tf using (term) join m using (doc_id) group by all)
+select item_id, rank::int as rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+where rank <= 10"""
+
+
 def _made_periodic(docs: DataFrame) -> DataFrame:
     """Every tenth text (by the checksum of its id) repeats a stretch of its words up to its end."""
     checksum = F.crc32(F.col("doc_id").cast("string"))

@@ -107,8 +107,8 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds
 
 
-def slices(texts: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cut a text column into slices of whole texts and find their words."""
+def slices(texts: pa.Array, slice_bytes: int = SLICE_BYTES, inside: np.ndarray = ~SPACE) -> Iterator[Slice]:
+    """Cut a text column into slices of whole texts and find their words, runs of bytes that are ``inside``."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     data, bounds = bytes_of(texts)
@@ -118,7 +118,7 @@ def slices(texts: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
         to = min(max(to, at + 1), n)
         own = bounds[at : to + 1] - bounds[at]
         part = data[bounds[at] : bounds[to]]
-        word = ~SPACE[part]
+        word = inside[part]
         before = np.zeros(len(part) + 1, bool)
         before[1:] = word
         before[own] = False  # a text begins anew, also right behind another

@@ -12,7 +12,7 @@ from llm_helpers import prose, words
 
 from inkweave.llm import periodic
 from inkweave.llm.convolve import PRIMES, inverse, primes_for, squared_differences, transform
-from inkweave.llm.periodic import periodic_runs
+from inkweave.llm.periodic import find_runs, periodic_runs
 from inkweave.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -62,10 +62,8 @@ def test_empty_table(empty):
     assert periodic_runs(empty).collect() == []
 
 
-@pytest.mark.parametrize("at_once", [64, 1 << 19])
-def test_many_small_alphabets(spark, monkeypatch, at_once):
+def test_many_small_alphabets(spark, monkeypatch):
     """Random, nested and neighbouring repeats over few words; runs that overlap or touch."""
-    monkeypatch.setattr(periodic, "NUMBERS_AT_ONCE", at_once)
     rng, rows = random.Random(5), []
     for i in range(160):
         alphabet = "ab"[: rng.randint(1, 2)] + "cdefghij"[: rng.randint(0, 8)]
@@ -78,6 +76,12 @@ def test_many_small_alphabets(spark, monkeypatch, at_once):
         rows.append((i, " ".join(w[:600])))
     got = check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
     assert sum(len(r[2]) for r in got) > 150
+    hashes = [np.array([zlib.crc32(x.encode()) for x in text.split()], np.uint64) for _, text in rows]
+    first = np.cumsum([0, *map(len, hashes)])
+    whole = find_runs(np.concatenate(hashes), first)
+    monkeypatch.setattr(periodic, "NUMBERS_AT_ONCE", 64)
+    for one, other in zip(whole, find_runs(np.concatenate(hashes), first), strict=True):
+        assert (one == other).all()
 
 
 def test_bounds_of_length_and_period(spark):
