@@ -8,12 +8,13 @@ follows from the chosen miss probability at the threshold.
 A pair that shares a band is verified batch by batch.  With a uniform prior, after ``m`` agreements in
 ``n`` values the similarity has the posterior Beta(m + 1, n - m + 1), and it reaches the threshold ``t``
 with probability P(Binomial(n + 1, t) <= m).  A pair leaves as soon as that falls below the miss
-probability; whoever is left after all values is checked on the whole sets.
+probability.  Whoever is left after all values is checked exactly: first by the Hamming distance of parity
+sketches, which never exceeds the symmetric difference of the two sets, then on the whole sets.
 
 Groups of near copies share most of their bands.  First each band's most connected member meets the
 others, one pair per member; then the members of bands that still hold several components meet in
-blocks of bounded size inside tasks, and only pairs of different components that survive all batches
-leave the task.
+blocks of bounded size inside tasks.  Only pairs of different components that survive all batches and
+the sketches leave a task, each in the first band in which it agrees.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from .words import bytes_of, mix, slices
 ROWS = 5
 MISS = 1e-6
 BATCH = 20
+SKETCH_BITS = 2_048
+BAND_MASK = (1 << 12) - 1
 BLOCK = 1_024
 PAIRS_AT_ONCE = 1 << 18
 
@@ -75,12 +78,28 @@ def signatures(sets: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
 
 
 def band_keys(signs: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A 64-bit key for each band of each signature."""
+    """A 64-bit key for each band of each signature; the number of the band is in the low twelve bits."""
     with np.errstate(over="ignore"):
         acc = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(signs), bands))
         for r in range(rows):
             acc = mix(acc + signs[:, r : bands * rows : rows].astype(np.uint64) + np.uint64(1))
-    return acc
+    return acc & ~np.uint64(BAND_MASK) | np.arange(bands, dtype=np.uint64)
+
+
+def parity_sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One bit per value modulo ``SKETCH_BITS``: whether an odd number of a set's values have it."""
+    n = len(first) - 1
+    at = np.repeat(np.arange(n), np.diff(first)) * SKETCH_BITS
+    at += (mix(sets ^ np.uint64(0x2C1B)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = np.zeros(n * SKETCH_BITS, np.uint8)
+    np.bitwise_xor.at(odd, at, np.uint8(1))
+    return np.packbits(odd.reshape(n, SKETCH_BITS), axis=1).view(np.uint64)
+
+
+def may_link(sketches: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of sets of sizes ``n`` can have a similarity of ``num``/``den`` by their sketches."""
+    far = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
+    return far * (den + num) <= (n[x] + n[y]) * (den - num)
 
 
 def survivors(
@@ -95,9 +114,9 @@ def survivors(
     return alive
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
+def _matrix(column: pa.Array, size: int, kind: type = np.uint32) -> np.ndarray:
     data, bounds = bytes_of(column)
-    return np.frombuffer(data[bounds[0] : bounds[-1]].tobytes(), np.uint32).reshape(-1, size)
+    return np.frombuffer(data[bounds[0] : bounds[-1]].tobytes(), kind).reshape(-1, size)
 
 
 def _members(docs: DataFrame, n: int, size: int) -> DataFrame:
@@ -107,11 +126,11 @@ def _members(docs: DataFrame, n: int, size: int) -> DataFrame:
                 sets, first = shingle_sets(part, n)
                 ids = class_ids(sets, first)
                 _, lead = np.unique(ids, return_index=True)  # copies in a slice send their signature once
-                own = signatures(sets, first, size)
-                signs = [None] * part.n_texts
+                own, odd = signatures(sets, first, size), parity_sketches(sets, first)
+                signs, sketches = [None] * part.n_texts, [None] * part.n_texts
                 for i in lead.tolist():
                     if first[i] < first[i + 1]:
-                        signs[i] = own[i].tobytes()
+                        signs[i], sketches[i] = own[i].tobytes(), odd[i].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(part.first, part.n_texts),
@@ -119,12 +138,13 @@ def _members(docs: DataFrame, n: int, size: int) -> DataFrame:
                         batch.column(2).slice(part.first, part.n_texts),
                         pa.array(ids.view(np.int64)),
                         pa.array(signs, pa.binary()),
+                        pa.array(sketches, pa.binary()),
                     ],
-                    ["id", "n", "text_key", "cls", "sign"],
+                    ["id", "n", "text_key", "cls", "sign", "sketch"],
                 )
 
     return docs.select("_id", "_text", F.xxhash64("_text")).mapInArrow(
-        run, "id long, n long, text_key long, cls long, sign binary"
+        run, "id long, n long, text_key long, cls long, sign binary, sketch binary"
     )
 
 
@@ -161,36 +181,39 @@ def _stars(rows: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, size: int, steps: list, num: int, den: int) -> DataFrame:
-    """The pairs that sizes and sequential verification do not rule out."""
+    """The pairs that sizes, sequential verification and sketches do not rule out."""
     side = lambda x: classes.select(
-        F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}")
+        F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}"), F.col("sketch").alias(f"sketch_{x}")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.num_rows
             signs = np.concatenate([_matrix(batch.column(i), size) for i in (2, 3)])
+            sketches = np.concatenate([_matrix(batch.column(i), SKETCH_BITS // 64, np.uint64) for i in (4, 5)])
+            n = np.concatenate([batch.column(i).to_numpy() for i in (6, 7)])
             keep = survivors(signs, np.arange(k), np.arange(k, 2 * k), steps)
+            keep = keep[may_link(sketches, n, keep, keep + k, num, den)]
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
     return (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
         .filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-        .select("a", "b", "sign_a", "sign_b")
+        .select("a", "b", "sign_a", "sign_b", "sketch_a", "sketch_b", "n_a", "n_b")
         .mapInArrow(run, "a long, b long")
     )
 
 
 def _left_over(
-    rows: DataFrame, groups: DataFrame, classes: DataFrame, size: int, steps: list, num: int, den: int
+    shared: DataFrame, groups: DataFrame, classes: DataFrame, size: int, rows: int, steps: list, num: int, den: int
 ) -> DataFrame:
-    """Pairs of different components that share a key and survive all batches.
+    """Pairs of different components that share a key and that neither batches nor sketches rule out.
 
     Keys with more than ``BLOCK`` members are cut into blocks, and each two blocks meet in one place.
     """
     placed = cut_lineage(
-        rows.select("key", "cls")
+        shared.select("key", "cls")
         .join(groups.withColumnRenamed("node", "cls"), "cls", "left")
         .withColumn("component", F.coalesce("component", "cls")),
         "placed",
@@ -212,6 +235,7 @@ def _left_over(
         if table.num_rows:
             key, i, j, cls, component, n = (table.column(c).to_numpy() for c in range(6))
             signs = _matrix(table.column(6).combine_chunks(), size)
+            sketches = _matrix(table.column(7).combine_chunks(), SKETCH_BITS // 64, np.uint64)
             number = np.cumsum(np.concatenate([[0], (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
             longest = int(np.bincount(number).max())
             waiting, held = [], 0
@@ -226,7 +250,11 @@ def _left_over(
                     x, y = (np.concatenate(side) for side in zip(*waiting, strict=True))
                     waiting, held = [], 0
                     near = survivors(signs, x, y, steps)
-                    x, y = cls[x[near]], cls[y[near]]
+                    near = near[may_link(sketches, n, x[near], y[near], num, den)]
+                    x, y = x[near], y[near]
+                    agree = (signs[x] == signs[y]).reshape(len(x), -1, rows).all(axis=2)
+                    here = agree.argmax(axis=1) == (key[x] & BAND_MASK)  # in a later band they meet again
+                    x, y = cls[x[here]], cls[y[here]]
                     out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
         found = np.unique(np.concatenate(out), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
@@ -249,8 +277,8 @@ def _left_over(
             yield pairs(held)
 
     return (
-        meet.join(classes.select("cls", "n", "sign"), "cls")
-        .select("key", "i", "j", "cls", "component", "n", "sign")
+        meet.join(classes.select("cls", "n", "sign", "sketch"), "cls")
+        .select("key", "i", "j", "cls", "component", "n", "sign", "sketch")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
         .mapInArrow(run, "a long, b long")
@@ -294,13 +322,13 @@ def minhash_classes(
     classes = cut_lineage(
         members.filter("n > 0")
         .groupBy("cls")
-        .agg(F.min("id").alias("rep"), F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.max("sign").alias("sign")),
+        .agg(F.min("id").alias("rep"), F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.max("sign").alias("sign"), F.max("sketch").alias("sketch")),
         "classes",
     )
     shared = cut_lineage(_shared(_bands(classes, bands, rows)), "shared")
     near = cut_lineage(_verified(_stars(shared), classes, size, steps, num, den), "near")
     edges = cut_lineage(linked_pairs(near, sets_of(near, classes, docs, n), num, den), "links")
-    left = cut_lineage(_left_over(shared, components(edges), classes, size, steps, num, den), "left")
+    left = cut_lineage(_left_over(shared, components(edges), classes, size, rows, steps, num, den), "left")
     groups = cut_lineage(
         components(edges.union(linked_pairs(left, sets_of(left, classes, docs, n), num, den))), "groups"
     )
@@ -313,7 +341,7 @@ def minhash_classes(
     least = cut_lineage(placed.groupBy("root").agg(F.min("rep").alias("component")), "least")
     named = cut_lineage(placed.join(least, "root").select("cls", "component"), "named")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return members.drop("sign").join(named, "cls", "left").select(
+    return members.drop("sign", "sketch").join(named, "cls", "left").select(
         "id", F.col("n").alias("n_shingles"), component.alias("component"),
         F.col("id").eqNullSafe(component).alias("kept"), "text_key", "cls",
     )
