@@ -252,7 +252,7 @@ def _left_over(
                     near = survivors(signs, x, y, steps)
                     near = near[may_link(sketches, n, x[near], y[near], num, den)]
                     x, y = x[near], y[near]
-                    agree = (signs[x] == signs[y]).reshape(len(x), -1, rows).all(axis=2)
+                    agree = (signs[x] == signs[y]).reshape(len(x), size // rows, rows).all(axis=2)
                     here = agree.argmax(axis=1) == (key[x] & BAND_MASK)  # in a later band they meet again
                     x, y = cls[x[here]], cls[y[here]]
                     out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
