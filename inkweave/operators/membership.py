@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import ROWS_PER_SLICE, cut_lineage, running_sum, with_slices
 
+# Updates of a key that one value holds, and slices of a key that are gone through in one value.
+UPDATES_PER_SLICE = 200
+PARTS_PER_GROUP = 20_000
+
 KEYS = ["observer", "peer_id"]
 STATE_FIELDS = ["state", "m_incarnation", "m_address", "m_via"]
 STATE_SCHEMA = "state string, m_incarnation long, m_address string, m_via string"
@@ -21,7 +25,7 @@ def advance(member: tuple, kind: str, incarnation, address, via) -> tuple[tuple,
     """The entry (state, incarnation, address, via) after one update, and whether it changed.
 
     Removed entries ignore ``alive`` but not ``dead``; a higher incarnation replaces all; the
-    same one revives and fills in a missing address.
+    same one revives and fills in a missing address.  Updates of other kinds change nothing.
     """
     state, known, known_address, known_via = member
     if state is None:
@@ -34,7 +38,7 @@ def advance(member: tuple, kind: str, incarnation, address, via) -> tuple[tuple,
         return (("Dead", incarnation, known_address, known_via), True) if state != "Dead" else (member, False)
     if kind == "suspect":
         return (("Suspected", incarnation, known_address, known_via), True) if state == "Alive" else (member, False)
-    if state == "Removed":
+    if state == "Removed" or kind != "alive":
         return member, False
     if incarnation > known:
         return ("Alive", incarnation, address, via if via is not None else known_via), True
@@ -59,22 +63,157 @@ def fold_rows(rows: pd.DataFrame, member: tuple) -> Iterator[tuple]:
         yield (seq, kind, changed, changed and kind == "alive", *member)
 
 
-def _fold(rows: DataFrame, keep: str) -> DataFrame:
-    """Fold each (observer, peer, slice) from its start columns; ``keep`` last or changed rows."""
+# ---- The fold in SQL.
+#
+# An entry is (state, k, address, via) with a state number (0 unknown, then STATES).  What a number of
+# updates do to *any* entry is a list of pieces: entries of class ``cls`` (state number, and whether the
+# entry has an address) with ``lo < k <= hi`` get ``state``, ``k`` (null: their own), ``address`` where
+# ``put`` is set (else their own) and ``via`` (null: their own).  Such lists can be composed, so any stretch
+# of a log has one, whatever holds before it.
+
+STATES = ["Alive", "Suspected", "Dead", "Removed"]
+LOW, HIGH = -(2**63) + 1, 2**63 - 1
+ENTRY = "struct<state:int,k:bigint,address:string,via:string>"
+PIECE = "struct<cls:int,lo:bigint,hi:bigint,state:int,k:bigint,put:boolean,address:string,via:string,changed:boolean>"
+UNKNOWN = f"cast(struct(0, 0L, null, null) as {ENTRY})"
+KNOWN = "array(2, 3, 4, 5, 6, 7, 8, 9)"
+STRUCT_NAMES = ["cls", "lo", "hi", "state", "k", "put", "address", "via", "changed"]
+
+
+def _named(names: list[str], values: list[str]) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(names, values, strict=True)) + ")"
+
+
+def _piece(
+    cls: str, state: str, lo: str = f"{LOW}L", hi: str = f"{HIGH}L", k: str = "null", put: str = "false",
+    address: str = "null", via: str = "null", changed: str = "true",
+) -> str:
+    types = ["int", "bigint", "bigint", "int", "bigint", "boolean", "string", "string", "boolean"]
+    values = [cls, lo, hi, state, k, put, address, via, changed]
+    return _named(STRUCT_NAMES, [f"cast({v} as {t})" for v, t in zip(values, types, strict=True)])
+
+
+def _same(cls: str, lo: str = f"{LOW}L") -> str:
+    return _piece(cls, f"{cls} div 2", lo, changed="false")
+
+
+def _update(u: str) -> str:
+    """The pieces of one update ``u`` (type, incarnation, address, via)."""
+    inc = f"{u}.incarnation"
+    new = {"k": inc, "put": "true", "address": f"{u}.address", "via": f"{u}.via"}
+
+    def split(classes: str, state: str) -> str:
+        """Entries of ``classes`` with an incarnation up to the update's go to ``state``, others stay."""
+        return f"flatten(transform(array({classes}), c -> array({_piece('c', state, hi=inc, k=inc)}, {_same('c', inc)})))"
+
+    def stay(classes: str) -> str:
+        return f"transform(array({classes}), c -> {_same('c')})"
+
+    # At the same incarnation ``alive`` revives and fills in a missing address, and leaves alone who has both.
+    below = f"greatest({inc}, {LOW + 1}L) - 1L"
+    level = f"""case when c = 3 or (c = 2 and {u}.address is null) then {_piece('c', 'c div 2', below, inc, changed='false')}
+      when c % 2 = 1 then {_piece('c', '1', below, inc, inc, via=f'{u}.via')} else {_piece('c', '1', below, inc, **new)} end"""
+    alive = f"""concat(array({_piece('0', '1', **new)}), {stay('8, 9')}, flatten(transform(array(2, 3, 4, 5, 6, 7),
+      c -> array({_piece('c', '1', hi=below, **new)}, {level}, {_same('c', inc)}))))"""
+    return f"""case {u}.type when 'alive' then {alive}
+      when 'suspect' then concat({stay('0, 4, 5, 6, 7, 8, 9')}, {split('2, 3', '2')})
+      when 'dead' then concat({stay('0, 6, 7')}, {split('2, 3, 4, 5, 8, 9', '3')})
+      when 'removed' then concat({stay('0, 8, 9')}, transform(array(2, 3, 4, 5, 6, 7), c -> {_piece('c', '4')}))
+      else {stay('0, 2, 3, 4, 5, 6, 7, 8, 9')} end"""
+
+
+def _after(pieces: str, entry: str) -> str:
+    """The entry after ``pieces``, with ``changed``."""
+    cls = f"if({entry}.state = 0, 0, {entry}.state * 2 + cast({entry}.address is not null as int))"
+    values = ["q.state", f"coalesce(q.k, {entry}.k)", f"if(q.put, q.address, {entry}.address)", f"coalesce(q.via, {entry}.via)", "q.changed"]
+    return f"""transform(filter({pieces}, q -> q.cls = {cls} and {entry}.k > q.lo and {entry}.k <= q.hi),
+      q -> {_named(['state', 'k', 'address', 'via', 'changed'], values)})[0]"""
+
+
+def _composed(first: str, then: str) -> str:
+    """The pieces of ``first`` followed by ``then``."""
+    cls = "if(p.state = 0, 0, p.state * 2 + if(p.put, cast(p.address is not null as int), p.cls % 2))"
+    values = [
+        "p.cls", "if(p.k is null, greatest(p.lo, q.lo), p.lo)", "if(p.k is null, least(p.hi, q.hi), p.hi)", "q.state",
+        "coalesce(q.k, p.k)", "p.put or q.put", "if(q.put, q.address, p.address)", "coalesce(q.via, p.via)", "p.changed or q.changed",
+    ]
+    meet = "if(p.k is null, q.lo < p.hi and q.hi > p.lo, p.k > q.lo and p.k <= q.hi)"
+    return f"flatten(transform({first}, p -> transform(filter({then}, q -> q.cls = {cls} and {meet}), q -> {_named(STRUCT_NAMES, values)})))"
+
+
+def _merged(pieces: str) -> str:
+    """Neighbouring pieces with one outcome as one piece."""
+    last = "element_at(a, -1)"
+    outcome = "struct({0}.state, {0}.k, {0}.put, {0}.address, {0}.via, {0}.changed)"
+    joined = f"{last}.cls = p.cls and {last}.hi = p.lo and {outcome.format(last)} <=> {outcome.format('p')}"
+    longer = _named(STRUCT_NAMES, [f"p.{n}" if n != "lo" else f"{last}.lo" for n in STRUCT_NAMES])
+    return f"""aggregate(array_sort({pieces}), cast(array() as array<{PIECE}>), (a, p) -> case when size(a) > 0 and {joined}
+      then concat(slice(a, 1, size(a) - 1), array({longer})) else concat(a, array(p)) end)"""
+
+
+NO_UPDATE = f"concat(array({_same('0')}), transform({KNOWN}, c -> {_same('c')}))"
+
+
+def _sliced(gossip: DataFrame, rows_per_slice: int) -> DataFrame:
+    """Key, ``_slice`` and ``updates``: at most ``rows_per_slice`` updates of a key in ``seq`` order."""
+    update = F.struct("seq", "type", "incarnation", "address", "via")
+    return cut_lineage(
+        with_slices(_foreign(gossip), KEYS, "seq", rows_per_slice)
+        .groupBy(*KEYS, "_slice")
+        .agg(F.array_sort(F.collect_list(update)).alias("updates")),
+        "slices",
+    )
+
+
+def _starts(parts: DataFrame, parts_per_group: int) -> DataFrame:
+    """(key, _slice, start): the entry before each part of the keys that have several; ``parts`` has ``pieces``.
+
+    Up to ``parts_per_group`` parts of a key are gone through in order; more of them are grouped by rank, the
+    groups are composed, and what holds before a group tells what holds before its parts.
+    """
+    several = cut_lineage(
+        parts.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "several"
+    )
+    most = several.agg(F.max("_n")).first()[0]
+    known = F.expr(UNKNOWN).alias("start")
+    if not most:
+        return parts.select(*KEYS, "_slice", known).limit(0)
+    rest = parts.join(several.select(*KEYS), KEYS, "left_semi").withColumnRenamed("_slice", "part")
+    if most <= parts_per_group:
+        groups = rest.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("part", "pieces"))).alias("parts"))
+        groups = groups.withColumn("start", known)
+    else:
+        placed = with_slices(rest, KEYS, "part", parts_per_group)
+        groups = cut_lineage(
+            placed.groupBy(*KEYS, "_slice").agg(F.array_sort(F.collect_list(F.struct("part", "pieces"))).alias("parts")), "groups"
+        )
+        whole = f"aggregate(parts, {NO_UPDATE}, (f, g) -> {_merged(_composed('f', 'g.pieces'))})"
+        composed = cut_lineage(groups.select(*KEYS, "_slice", F.expr(whole).alias("pieces")), "composed")
+        # Ranges of the order may cut a key more often than the ranks do.
+        narrowed = composed.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        before = _starts(composed, parts_per_group if narrowed < most else narrowed)
+        groups = groups.join(before, [*KEYS, "_slice"], "left").withColumn("start", F.coalesce("start", F.expr(UNKNOWN)))
+    entry = f"transform(array({_after('g.pieces', 'a.now')}), r -> cast(struct(r.state, r.k, r.address, r.via) as {ENTRY}))[0]"
+    step = f"(a, g) -> named_struct('now', {entry}, 'all', concat(a.all, array(named_struct('part', g.part, 'start', a.now))))"
+    none = f"cast(array() as array<struct<part:bigint,start:{ENTRY}>>)"
+    starts = F.expr(f"aggregate(parts, named_struct('now', start, 'all', {none}), {step}).all")
+    return cut_lineage(
+        groups.select(*KEYS, F.explode(starts).alias("s")).select(*KEYS, F.col("s.part").alias("_slice"), "s.start"), "starts"
+    )
+
 
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        state = _plain(first["state"])
-        start = NOTHING if state is None else (state, int(first["m_incarnation"]), _plain(first["m_address"]), _plain(first["m_via"]))
-        out = list(fold_rows(group, start))
-        out = out[-1:] if keep == "last" else [row for row in out if row[2]]
-        table = pd.DataFrame(out, columns=["seq", "type", "changed", "is_new", *STATE_FIELDS])
-        table["m_incarnation"] = table["m_incarnation"].astype("Int64")
-        for name, value in zip((*KEYS, "_slice"), key, strict=True):
-            table[name] = value
-        return table[["observer", "peer_id", "_slice", "seq", "type", "changed", "is_new", *STATE_FIELDS]]
+def _with_starts(gossip: DataFrame, rows_per_slice: int, parts_per_group: int) -> DataFrame:
+    """Slices of updates with the entry that holds before each; a key in one slice starts with nothing."""
+    sliced = _sliced(gossip, rows_per_slice)
+    several = sliced.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    whole = f"aggregate(updates, {NO_UPDATE}, (f, u) -> {_composed('f', _update('u'))})"
+    parts = sliced.join(several.select(*KEYS), KEYS, "left_semi").select(*KEYS, "_slice", F.expr(_merged(whole)).alias("pieces"))
+    starts = _starts(cut_lineage(parts, "pieces"), parts_per_group)
+    return sliced.join(starts, [*KEYS, "_slice"], "left").withColumn("start", F.coalesce("start", F.expr(UNKNOWN)))
 
-    return rows.groupBy(*KEYS, "_slice").applyInPandas(fold, FOLD_SCHEMA)
+
+def _state_name(number: str) -> Column:
+    return F.when(F.col(number) > 0, F.element_at(F.array(*map(F.lit, STATES)), F.greatest(F.col(number), F.lit(1))))
 
 
 def _foreign(gossip: DataFrame) -> DataFrame:
@@ -82,69 +221,48 @@ def _foreign(gossip: DataFrame) -> DataFrame:
         *KEYS,
         "seq",
         "type",
-        # A removal has no number; with a null among them pandas would read all as doubles.
+        # A removal has no number.
         F.coalesce(F.col("incarnation").cast("long"), F.lit(0)).alias("incarnation"),
         "address",
         F.col("from").alias("via"),
     )
 
 
-def _with_starts(gossip: DataFrame, rows_per_slice: int) -> DataFrame:
-    """Rows with their slice and the entry that holds before the slice.
-
-    A key in one slice starts with nothing.  The slices of a longer key are folded side by
-    side from a guessed start; then those whose slice before ended otherwise are folded again,
-    until no start changes.  Slice n is right after n rounds at the latest; since most slices
-    end the same for any start, two or three rounds are usual.
-    """
-    empty = [
-        (F.lit(0) if n == "m_incarnation" else F.lit(None)).cast(t).alias(n)
-        for n, t in (field.split() for field in STATE_SCHEMA.split(", "))
-    ]
-    sliced = cut_lineage(with_slices(_foreign(gossip), KEYS, "seq", rows_per_slice), "sliced")
-    here = [*KEYS, "_slice"]
-    in_order = Window.partitionBy(*KEYS).orderBy("_slice")
-    spans = sliced.select(*here).distinct().withColumn("_n", F.count("*").over(Window.partitionBy(*KEYS)))
-    starts = cut_lineage(spans.filter("_n > 1").select(*here, *empty), "starts")
-    ends = cut_lineage(_fold(sliced.join(starts, here), "last").select(*here, *STATE_FIELDS), "ends")
-    while True:
-        shifted = cut_lineage(
-            ends.select(
-                *here,
-                *[
-                    F.coalesce(F.lag(c).over(in_order), F.lit(0)).alias(c) if c == "m_incarnation" else F.lag(c).over(in_order).alias(c)
-                    for c in STATE_FIELDS
-                ],
-            ),
-            "starts",
-        )
-        changed = shifted.exceptAll(starts)
-        starts = shifted
-        if changed.isEmpty():
-            break
-        again = _fold(sliced.join(changed, here), "last").select(*here, *STATE_FIELDS)
-        ends = cut_lineage(ends.join(changed.select(*here), here, "left_anti").unionByName(again), "ends")
-    return sliced.join(starts, here, "left").withColumn("m_incarnation", F.coalesce("m_incarnation", F.lit(0)))
-
-
-def gossip_changes(gossip: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def gossip_changes(
+    gossip: DataFrame, rows_per_slice: int = UPDATES_PER_SLICE, parts_per_group: int = PARTS_PER_GROUP
+) -> DataFrame:
     """Updates that changed an entry, with ``is_new`` where they made a peer known or revived it.
 
     ``gossip`` has observer, seq, type, peer_id, address, incarnation and from.  These are the
     updates worth passing on.
     """
-    return _fold(_with_starts(gossip, rows_per_slice), "changed").select(
-        *KEYS, "seq", "type", "is_new", "state", F.col("m_incarnation").alias("incarnation"), F.col("m_address").alias("address")
+    names = ["seq", "type", "state", "k", "address"]
+    row = _named(names, ["u.seq", "u.type", "r.state", "r.k", "r.address"])
+    now = f"cast(struct(r.state, r.k, r.address, r.via) as {ENTRY})"
+    out = f"if(r.changed, concat(a.out, array({row})), a.out)"
+    step = f"(a, u) -> transform(array({_after(_update('u'), 'a.now')}), r -> named_struct('now', {now}, 'out', {out}))[0]"
+    none = "cast(array() as array<struct<seq:bigint,type:string,state:int,k:bigint,address:string>>)"
+    changes = F.expr(f"aggregate(updates, named_struct('now', start, 'out', {none}), {step}).out")
+    return (
+        _with_starts(gossip, rows_per_slice, parts_per_group)
+        .select(*KEYS, F.explode(changes).alias("c"))
+        .select(*KEYS, "c.*")
+        .select(
+            *KEYS, "seq", "type", (F.col("type") == "alive").alias("is_new"), _state_name("state").alias("state"),
+            F.col("k").alias("incarnation"), "address",
+        )
     )
 
 
-def membership(gossip: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def membership(
+    gossip: DataFrame, rows_per_slice: int = UPDATES_PER_SLICE, parts_per_group: int = PARTS_PER_GROUP
+) -> DataFrame:
     """(observer, peer_id, state, incarnation, address, via) after all updates in ``seq`` order."""
-    ends = _fold(_with_starts(gossip, rows_per_slice), "last")
-    last = ends.groupBy(*KEYS).agg(F.max_by(F.struct(*STATE_FIELDS), "_slice").alias("m"))
-    return last.filter("m.state is not null").select(
-        *KEYS, "m.state", F.col("m.m_incarnation").alias("incarnation"), F.col("m.m_address").alias("address"), F.col("m.m_via").alias("via")
-    )
+    entry = f"transform(array({_after(_update('u'), 'a')}), r -> cast(struct(r.state, r.k, r.address, r.via) as {ENTRY}))[0]"
+    end = F.expr(f"aggregate(updates, start, (a, u) -> {entry})")
+    ends = _with_starts(gossip, rows_per_slice, parts_per_group).select(*KEYS, "_slice", end.alias("m"))
+    last = ends.groupBy(*KEYS).agg(F.max_by("m", "_slice").alias("m")).filter("m.state > 0").select(*KEYS, "m.*")
+    return last.select(*KEYS, _state_name("state").alias("state"), F.col("k").alias("incarnation"), "address", "via")
 
 
 def self_incarnations(gossip: DataFrame, initial: int = 0, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
@@ -177,6 +295,12 @@ def members_where(members: DataFrame, kind: str) -> DataFrame:
     return members.filter(MEMBER_KINDS[kind])
 
 
+def members_by_kind(members: DataFrame) -> DataFrame:
+    """(kind, observer, peer_id): a row for every kind a member is of, in one pass over the members."""
+    kinds = F.array(*[F.when(F.expr(test), F.lit(kind)) for kind, test in MEMBER_KINDS.items()])
+    return members.select(F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"), *KEYS)
+
+
 def alive_snapshot(members: DataFrame, selves: DataFrame) -> DataFrame:
     """(observer, peer_id, incarnation, address): each observer itself and its alive members."""
     return selves.select("observer", F.col("observer").alias("peer_id"), "incarnation", "address").unionByName(

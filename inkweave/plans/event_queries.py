@@ -285,12 +285,7 @@ union all select 'removed', observer, peer_id from members where state = 'Remove
 union all select 'client_only', observer, peer_id from members where address is null
 union all select 'reconnectable', observer, peer_id from members where state <> 'Removed' and address is not null""", V.EVENTS, GOSSIP))
 def members_where(spark, sf):
-    members = M.membership(gossip(V.events(spark, sf)))
-    parts = [M.members_where(members, kind).select(F.lit(kind).alias("kind"), "observer", "peer_id") for kind in M.MEMBER_KINDS]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return M.members_by_kind(M.membership(gossip(V.events(spark, sf))))
 
 
 @query("str6_alive_snapshot", V.with_views("""

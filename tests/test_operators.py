@@ -145,24 +145,49 @@ def test_retries_and_carried_values(spark, per_slice):
     assert {r["seq"]: (r["attempt"], r["delay"]) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("per_slice", [25, 10**6])
-def test_membership_in_slices(spark, per_slice):
+@pytest.mark.parametrize("per_slice,per_group", [(1, 20_000), (1, 5), (3, 20_000), (3, 4), (10**6, 20_000)])
+def test_membership_in_slices(spark, per_slice, per_group):
     rng = random.Random(7)
     data = []
-    for i in range(200):
-        kind = rng.choices(["alive", "suspect", "dead", "removed"], [5, 3, 2, 1])[0]
+    for i in range(240):
+        kind = rng.choices(["alive", "suspect", "dead", "removed", "other"], [8, 4, 2, 1, 1])[0]
         address = rng.choice([None, "x", "y"]) if kind == "alive" else None
-        data.append((rng.choice("oo0"), i, kind, rng.choice("ppq"), address, None if kind == "removed" else rng.randrange(1 + i // 40), "v"))
+        inc = None if kind == "removed" else rng.choice([rng.randrange(6), rng.randrange(1 + i // 40)])
+        data.append((rng.choice("oo0"), i, kind, rng.choice("ppppq"), address, inc, rng.choice("uvw")))
     df = spark.createDataFrame(data, "observer string, seq long, type string, peer_id string, address string, incarnation long, from string")
-    members, changed = {}, set()
+    members, changed = {}, {}
     for observer, seq, kind, peer, address, inc, via in data:
         key = (observer, peer)
         members[key], did = membership.advance(members.get(key, membership.NOTHING), kind, inc, address, via)
         if did:
-            changed.add(seq)
-    got = {(r["observer"], r["peer_id"]): tuple(r)[2:] for r in membership.membership(df, per_slice).collect()}
+            changed[seq] = (kind == "alive", *members[key][:3])
+    got = {(r["observer"], r["peer_id"]): tuple(r)[2:] for r in membership.membership(df, per_slice, per_group).collect()}
     assert got == {k: v for k, v in members.items() if v[0]}
-    assert {r["seq"] for r in membership.gossip_changes(df, per_slice).collect()} == changed
+    updates = membership.gossip_changes(df, per_slice, per_group)
+    assert {r["seq"]: (r["is_new"], r["state"], r["incarnation"], r["address"]) for r in updates.collect()} == changed
+    assert "Pandas" not in updates._jdf.queryExecution().toString()
+
+
+def test_updates_compose_like_the_fold(spark):
+    """The pieces of two stretches, composed, do to every entry what the updates do one by one."""
+    rng = random.Random(12)
+    kinds = ["alive", "alive", "suspect", "dead", "removed"]
+    logs = [[(rng.choice(kinds), rng.randrange(4), rng.choice([None, "x"]), rng.choice([None, "v"])) for _ in range(8)] for _ in range(40)]
+    logs = [[(k, i, a if k == "alive" else None, v) for k, i, a, v in log] for log in logs]
+    df = spark.createDataFrame([(n, log) for n, log in enumerate(logs)], "n int, u array<struct<type:string,incarnation:long,address:string,via:string>>")
+    fold = lambda part: f"aggregate({part}, {membership.NO_UPDATE}, (f, u) -> {membership._composed('f', membership._update('u'))})"
+    both = df.withColumns({"a": F.expr(membership._merged(fold("slice(u, 1, 4)"))), "b": F.expr(membership._merged(fold("slice(u, 5, 4)")))})
+    whole = both.withColumn("p", F.expr(membership._merged(membership._composed("a", "b"))))
+    starts = [(s, k, a, "w") for s in range(1, 5) for k in range(-1, 5) for a in (None, "z")] + [(0, 0, None, None)]
+    tried = whole.withColumn("e", F.explode(F.array(*map(F.lit, range(len(starts))))))
+    entries = spark.createDataFrame([(i, s) for i, s in enumerate(starts)], f"e int, s {membership.ENTRY}")
+    for r in tried.join(entries, "e").withColumn("r", F.expr(membership._after("p", "s"))).collect():
+        state, k, address, via = starts[r.e]
+        member = (membership.STATES[state - 1], k, address, via) if state else membership.NOTHING
+        for u in logs[r.n]:
+            member, _ = membership.advance(member, *u)
+        got = (membership.STATES[r.r.state - 1], r.r.k, r.r.address, r.r.via) if r.r.state else membership.NOTHING
+        assert got == member
 
 
 @pytest.mark.parametrize("per_slice", [4, 10**6])
