@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 1_000_000
+# Folder of the step tables in the shared folder.
+STEPS = "inkweave"
 # Slices of a range are numbered from the range's number times this.
 RANGE_STEP = 1 << 32
 
@@ -33,13 +35,15 @@ def shared_folder(spark: SparkSession) -> str:
     if current:
         return os.path.dirname(current.rstrip("/"))
     warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
-    if not warehouse:
+    one_machine = not warehouse or warehouse.startswith(("file:", "/"))
+    if one_machine and not spark.sparkContext.master.startswith("local"):
+        # Without a setting the warehouse is a folder below the driver's working directory.
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{warehouse.rstrip('/')}/_steps"
 
 
 def new_table_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/inkweave/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{STEPS}/{label}-{uuid.uuid4().hex}"
 
 
 @contextmanager
@@ -65,6 +69,18 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_steps(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut_lineage` has written, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().getName() != STEPS:
+                raise ValueError(f"{folder} is no step table")
+            path.getFileSystem(conf).delete(path, True)
+
+
 def with_slices(
     df: DataFrame,
     keys: list[str],

@@ -362,3 +362,25 @@ def test_rank_in_group_is_dense(spark):
     df = spark.range(50).select((F.col("id") % 2).alias("k"), F.format_string("p%03d", "id").alias("p"))
     got = scale.rank_in_group(df, ["k"], "p", "n", 4).groupBy("k").agg(F.sort_array(F.collect_list("n")).alias("n")).collect()
     assert all(r["n"] == list(range(1, 26)) for r in got)
+
+
+def test_containing_pairs_by_trigrams(spark):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choices("abcß ", k=n))
+    longs = {text(rng.randint(0, 14)) for _ in range(150)} | {text(10_000), "aa", ""}
+    shorts = {text(rng.randint(0, 5)) for _ in range(150)} | {"", "zzz", "abz", *(x[3:9] for x in list(longs)[:20])}
+    got = projects.containing_pairs(
+        spark.createDataFrame([(x,) for x in longs], "long string"), spark.createDataFrame([(x,) for x in shorts], "short string")
+    )
+    assert sorted(map(tuple, got.collect())) == sorted((x, y) for x in longs for y in shorts if y in x)
+
+
+def test_step_tables_are_deleted(spark):
+    kept, gone = scale.cut_lineage(spark.range(5), "kept"), scale.cut_lineage(spark.range(7), "gone")
+    empty = scale.cut_lineage(spark.range(0), "none")
+    scale.drop_steps(gone, empty)
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="(?i)not.exist|FileNotFound|FAILED_READ"):
+        gone.collect()
+    with pytest.raises(ValueError):
+        scale.drop_steps(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
