@@ -37,6 +37,15 @@ class Lexicon:
     first: np.ndarray  # where the trigrams of each word begin
 
 
+def without_edges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of words without the punctuation around them; a word of nothing else keeps its first mark."""
+    inner = np.append(np.flatnonzero(~_EDGE[data]), len(data))
+    first = inner[np.searchsorted(inner, starts)]
+    last = inner[np.searchsorted(inner, ends) - 1]  # a number before the start, or none, where all are marks
+    some = first < ends
+    return np.where(some, first, starts), np.where(some, last + 1, starts + 1)
+
+
 def lexicon(part: Slice) -> tuple[Lexicon, np.ndarray]:
     """The distinct lower-case words of a slice, and which of them each word is."""
     low = part.lowered()
@@ -44,9 +53,7 @@ def lexicon(part: Slice) -> tuple[Lexicon, np.ndarray]:
     if not len(starts):
         none = np.zeros(0, np.int64)
         return Lexicon(none, none, np.zeros(1, np.int64)), none
-    for _ in range(8):  # outer punctuation; a word keeps what is left after eight marks
-        starts += (starts < ends - 1) & _EDGE[low.data[starts]]
-        ends -= (starts < ends - 1) & _EDGE[low.data[ends - 1]]
+    starts, ends = without_edges(low.data, starts, ends)
     hashes, sample, which = np.unique(low.span_hashes(starts, ends), return_index=True, return_inverse=True)
     starts, ends = starts[sample], ends[sample]
     size = ends - starts
@@ -227,16 +234,24 @@ def score_windows(net: Network, gates: np.ndarray, ids: np.ndarray, mask: np.nda
     return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
 
+def _loss(logit: np.ndarray, target: np.ndarray, weight: np.ndarray) -> float:
+    """Weighted mean of the logistic loss."""
+    return float((weight * np.logaddexp(0, np.where(target > 0, -logit, logit))).sum() / weight.sum())
+
+
 def train(
     windows: list[list[str]], labels: list[int], length: int, epochs: int = 14, batch: int = 128, updates: int = 500,
-    rate: float = 0.02, seed: int = 5,
-) -> Network:
-    """Fit a network on documents given as lists of windows (words joined by blanks).
+    rate: float = 0.02, seed: int = 5, held_back: float = 0.2,
+) -> tuple[Network, float]:
+    """Fit a network on documents given as lists of windows (words joined by blanks); also its loss.
 
     Each turn scores all windows, takes the worst of every document and, of clean documents, a
     random one besides, and learns from these.  In the first turns toxic documents give a random
     window too, so that words of all windows get a chance.  Few documents get more turns than
     ``epochs``, up to four times as many, for about ``updates`` steps.
+
+    A part of the documents, ``held_back`` of each kind, is not learned from: the network after the
+    turn with the least loss on them is returned.  With fewer than ten of a kind all are learned from.
     """
     rng = np.random.default_rng(seed)
     net = Network(seed)
@@ -253,14 +268,29 @@ def train(
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
     share = labels.mean()
     by_class = np.where(labels > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)) ** 0.5
+    judge = np.zeros(len(labels), bool)
+    for kind in (0, 1):
+        own = np.flatnonzero(labels == kind)
+        # The same ones whatever the seed, so that the losses of several fits can be compared.
+        judge[np.random.default_rng(kind).permutation(own)[: int(held_back * len(own)) if len(own) >= 10 else 0]] = True
+    if len(np.unique(labels[judge])) < 2:
+        judge[:] = False
+    learn = ~judge
     adam = Adam(net.p, rate)
-    epochs = max(epochs, min(4 * epochs, updates * batch // max(2 * len(labels), 1)))
-    for epoch in range(epochs):
+    epochs = max(epochs, min(4 * epochs, updates * batch // max(2 * int(learn.sum()), 1)))
+    best, least = None, np.inf
+    for epoch in range(epochs + 1):
         logit = score_windows(net, net.gates(words), ids, mask)
         order = np.lexsort((-logit, doc))
         worst = order[first]
+        against = judge if judge.any() else learn
+        loss = _loss(logit[worst][against], labels[against], by_class[against])
+        if epoch >= epochs // 4 and loss < least:
+            best, least = {k: v.copy() for k, v in net.p.items()}, loss
+        if epoch == epochs:
+            break
         random = first + (rng.random(len(count)) * count).astype(np.int64)
-        chosen = np.concatenate([worst, random[(labels == 0) | (epoch < 3)]])
+        chosen = np.concatenate([worst[learn], random[learn & ((labels == 0) | (epoch < 3))]])
         rng.shuffle(chosen)
         adam.rate = rate * (1 - 0.8 * epoch / epochs)
         for a in range(0, len(chosen), batch):
@@ -272,4 +302,5 @@ def train(
             kept = np.repeat(kept, WIDTH, axis=1).astype(np.float32)
             grads, _ = net.gradients(own, local, mask[c], y, by_class[doc[c]].astype(np.float32) / len(c), kept)
             adam.step(grads)
-    return net
+    net.p = best
+    return net, least

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.scale import cut_lineage
+from inkweave.scale import cut_lineage, drop_steps
 
 from .words import Slice, mix, slices, windows
 
@@ -247,8 +247,16 @@ def repeated_passages(
     ).withColumn("text_key", F.xxhash64("text"))
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     members = cut_lineage(source.select("id", "text_key", words.alias("n_words")), "texts")
-    texts = members.groupBy("text_key").agg(
-        F.min("id").alias("rep"), F.min("n_words").alias("n_words"), F.count("*").alias("copies")
+    rows = members.groupBy("text_key", "id").agg(F.count("*").alias("times"), F.min("n_words").alias("n_words"))
+    own = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "times")))
+    texts = cut_lineage(
+        rows.groupBy("text_key")
+        .agg(own.alias("own"), F.sum("times").alias("copies"), F.min("n_words").alias("n_words"))
+        # Whether the row that stands for the text is there several times.
+        .select(
+            "text_key", F.col("own.id").alias("rep"), "n_words", "copies", (F.coalesce("own.times", "copies") > 1).alias("again")
+        ),
+        "copies",
     )
     suffixes = cut_lineage(_suffixes(source, gram, span, min_words), "suffixes")
     at = F.struct("text_key", "place")
@@ -267,21 +275,29 @@ def repeated_passages(
         .agg((F.count("*") > NEIGHBOURS).alias("often"))
         .filter("often")
     )
-    repeated = repeated.join(frequent, "gram", "left").select("gram", F.coalesce("often", F.lit(False)).alias("often"))
+    # Written, so that the join below is a plain one whose frequent grams can be split.
+    known = cut_lineage(
+        repeated.join(frequent, "gram", "left").select("gram", F.coalesce("often", F.lit(False)).alias("often")), "known"
+    )
+    drop_steps(repeated)
+    found = cut_lineage(suffixes.join(known, "gram").select("text_key", "place", "often"), "found")
+    drop_steps(suffixes, known)
     places = (
-        suffixes.join(repeated, "gram")
-        .groupBy("text_key")  # no more suffixes than one text has
+        found.groupBy("text_key")  # no more suffixes than one text has
         .agg(
             F.sort_array(F.collect_set(F.when(~F.col("often"), F.col("place")))).alias("places"),
             F.collect_set(F.when(F.col("often"), F.col("place"))).alias("hot"),
         )
     )
-    wanted = places.join(texts.select("text_key", "rep"), "text_key").withColumnsRenamed(
+    wanted = places.join(texts.select("text_key", "rep", "again"), "text_key").withColumnsRenamed(
         {"text_key": "_key", "rep": "_rep"}
     )
     same = F.col("id").eqNullSafe(F.col("_rep")) & (F.col("text_key") == F.col("_key"))
-    chosen = source.join(wanted, same).select("text", "text_key", "places", "hot")
-    contexts = cut_lineage(_contexts(chosen, gram, span, min_words).distinct(), "contexts")
+    chosen = source.join(wanted, same).select("text", "text_key", "places", "hot", "again")
+    # Only rows that are there several times need to be made one.
+    chosen = chosen.filter("not again").union(chosen.filter("again").dropDuplicates(["text_key"]))
+    contexts = cut_lineage(_contexts(chosen, gram, span, min_words), "contexts")
+    drop_steps(found)
     # A gram has up to NEIGHBOURS suffixes here, all of them in one task.
     ordered = contexts.filter("right is not null").repartitionByRange("gram").sortWithinPartitions(
         "gram", "right", "text_key", "place"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.scale import cut_lineage, drop_steps
+
 from .names import free_names
 from .recurrent import Network, lexicon, score_windows, train, window_starts
 from .words import Slice, slices
@@ -21,6 +24,7 @@ MAX_TOXIC = 1_000
 WINDOWS_PER_DOCUMENT = 16
 FOLDS = 5
 EMPTY_SCORE = 0.0
+TRIALS = 6
 SLICE = 2 << 20
 
 
@@ -67,9 +71,13 @@ def fit_toxicity(
     """Fit a model on labelled documents outside the held-out fold.
 
     At most ``max_toxic`` toxic and ``max_clean`` clean documents are taken, the first by a hash of the
-    id, with ``WINDOWS_PER_DOCUMENT`` random windows of each; what comes to the driver is bounded by
-    these three numbers.  Rows without id, text or label are left out; several labels of one document
-    count as toxic if one does.  With no documents of one kind the model is the share of toxic ones.
+    id, with ``WINDOWS_PER_DOCUMENT`` random windows of each; what a task learns from is bounded by
+    these three numbers.  ``TRIALS`` tasks fit one network each, from different starts, and only their
+    parameters come to the driver; the one with the least loss on documents it did not learn from is the
+    model, so that an unlucky start or the rounding of a machine does not decide.  Rows without id, text
+    or label are left out; several labels of one document count as toxic if one does, and of several
+    texts of one id the one with the smallest hash is taken.  With no documents of one kind the model is
+    the share of toxic ones.
     """
     known = (
         labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
@@ -83,7 +91,7 @@ def fit_toxicity(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, toxic, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            ids, toxic, keys, out = *(batch.column(i).to_pylist() for i in (0, 1, 3)), []
             for part in slices(batch.column(2), SLICE):
                 for i in range(part.n_texts):
                     a, n = int(part.first_word[i]), int(part.n_words[i])
@@ -96,25 +104,42 @@ def fit_toxicity(
                     ]
                     if len(starts):
                         own = [span(int(s)).tobytes().decode("utf-8", "replace") for s in starts]
-                        out.append((ids[part.first + i], toxic[part.first + i], own))
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.string())]
+                        out.append((ids[part.first + i], toxic[part.first + i], own, keys[part.first + i]))
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "toxic", "windows"]
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "toxic", "windows", "text_key"]
             )
 
-    sample = (
+    sample = cut_lineage(
         texts.join(F.broadcast(chosen), "id")  # at most max_toxic + max_clean ids
-        .select("id", "toxic", "text")
-        .mapInArrow(run, "id long, toxic int, windows array<string>")
-        .dropDuplicates(["id"])
-        .toPandas()
-        .sort_values("id")
+        .select("id", "toxic", "text", F.xxhash64("text"))
+        .mapInArrow(run, "id long, toxic int, windows array<string>, text_key long")
+        .groupBy("id")
+        .agg(F.min("toxic").alias("toxic"), F.min_by("windows", F.struct("text_key", "windows")).alias("windows")),
+        "sample",
+    )
+    n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if n_toxic in (0, n):
+        return ToxicityModel(None, n_toxic / n if n else 0.0)
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        own = seed + int(rows["trial"][0].as_py())
+        net, loss = train(rows["windows"].to_pylist(), rows["toxic"].to_pylist(), LENGTH, seed=own)
+        return pa.table({"loss": pa.array([loss]), "seed": pa.array([own]), "parameters": pa.array([pickle.dumps(net.p)], pa.binary())})
+
+    fitted = (
+        sample.withColumn("trial", F.explode(F.lit(list(range(TRIALS)))))
+        .groupBy("trial")  # the whole bounded sample for each trial
+        .applyInArrow(fit, "loss double, seed long, parameters binary")
+        .collect()
     )
-    toxic = sample["toxic"].to_numpy()
-    if len(toxic) == 0 or toxic.min() == toxic.max():
-        return ToxicityModel(None, float(toxic.mean()) if len(toxic) else 0.0)
-    return ToxicityModel(train([list(w) for w in sample["windows"]], toxic.tolist(), LENGTH, seed=seed), float(toxic.mean()))
+    drop_steps(sample)
+    chosen_fit = min(fitted, key=lambda r: (r.loss, r.seed))
+    network = Network(chosen_fit.seed)
+    network.p = pickle.loads(chosen_fit.parameters)
+    return ToxicityModel(network, n_toxic / n)
 
 
 def score_toxicity(

@@ -7,15 +7,16 @@ import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import prose, words
 
 import corpus_pipeline
 from inkweave.llm import queries
 from inkweave.llm.mixing import mix_sources, pivotal_rounding, source_targets, take_mix
-from inkweave.llm.recurrent import Network, window_starts
+from inkweave.llm.recurrent import Network, window_starts, without_edges
 from inkweave.llm.tokens import DEFAULT_VOCABULARY, Tokenizer, encoding, end_token
-from inkweave.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity, without_toxic
+from inkweave.llm.toxicity import LENGTH, STRIDE, ToxicityModel, fit_toxicity, score_toxicity, without_toxic
 from inkweave.llm.training_order import permuted, read_slots, write_training_order
 from inkweave.llm.words import slices
 
@@ -179,11 +180,19 @@ def test_toxicity_of_held_out_documents(spark):
         rows.append((i, " ".join(text), int(toxic)))
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1), (1, None)], "doc_id long, toxic int")
-    model = fit_toxicity(docs, labels)
-    score = {r.id: r.score for r in score_toxicity(docs, model).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
-    right = sum((score[r[0]] >= 0.5) == r[2] for r in held)
-    assert right >= 0.9 * len(held)
+    for seed in (205, 5):
+        model = fit_toxicity(docs, labels, seed=seed)
+        score = {r.id: r.score for r in score_toxicity(docs, model).collect()}
+        right = sum((score[r[0]] >= 0.5) == r[2] for r in held)
+        assert right >= 0.92 * len(held), (seed, right)
+    # A text has the score of its worst window, each window scored as a text of its own.
+    some = [r for r in rows if r[0] % 50 == 0]
+    cut = [(r[0], " ".join(r[1].split()[a : a + LENGTH])) for r in some for a in window_starts(len(r[1].split()), LENGTH, STRIDE)]
+    each = {}
+    for r in score_toxicity(spark.createDataFrame(cut, "doc_id long, text string"), model).collect():
+        each[r.id] = max(each.get(r.id, 0.0), r.score)
+    assert len(cut) > len(some) and each == pytest.approx({r[0]: score[r[0]] for r in some}, abs=1e-5)
     kept = {r.doc_id for r in without_toxic(docs, model).collect()}
     assert kept == {i for i, s in score.items() if s < 0.5}
     odd = spark.createDataFrame([(1, None, "a"), (1, "", "b"), (None, "x", "c"), (None, "x", "c")], "doc_id long, text string, _toxicity string")
@@ -191,6 +200,14 @@ def test_toxicity_of_held_out_documents(spark):
     assert without_toxic(odd, model).columns == odd.columns and without_toxic(odd.limit(0), model).count() == 0
 
 
+def test_words_without_outer_punctuation():
+    text = "-" * 1_000_000 + " (a) ..b.. ;; c " + "!" * 50 + "d" + "?" * 50 + " é."
+    part = next(slices(pa.array([text])))
+    starts, ends = without_edges(part.data, part.starts, part.ends)
+    got = [part.data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
+    assert got == ["-", "a", "b", ";", "c", "d", "é"]
+
+
 def test_toxicity_without_labels(documents, empty, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert fit_toxicity(documents, none) == ToxicityModel(None, 0.0)
@@ -222,4 +239,4 @@ def test_stages_take_messy_and_empty_tables(spark, messy, empty, name):
 
 def test_names():
     ops = {n.split("_")[0] for n in queries.QUERIES}
-    assert ops == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert ops == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
