@@ -17,7 +17,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweave.scale import cut_lineage
+from inkweave.scale import cut_lineage, drop_steps, new_table_path
 
 from .names import free_names
 from .order import with_total_before
@@ -123,8 +123,8 @@ def pivotal_rounding(
             F.col(p).cast("double").alias("p"),
         ).alias("_unit"),
     )
-    out = None
-    level = 0
+    # Every level adds what it has settled to one table, so that readers plan one scan.
+    path, level = new_table_path(units.sparkSession, "settled"), 0
     while True:
         live = cut_lineage(live, "fractions")
         count = live.groupBy(F.col(group).alias("_g"), F.col("_class").alias("_c")).agg(F.count("*").alias("_n"))
@@ -150,7 +150,8 @@ def pivotal_rounding(
             "rounded",
         )
         settled = folded.select(F.explode("_acc.done").alias("d")).select("d.row.*", "d.take")
-        out = settled if out is None else out.union(settled)
+        settled.write.mode("append").parquet(path)
+        drop_steps(live)
         wide = folded.agg(F.max("_class"), F.count("*"), F.count_distinct(F.struct(F.xxhash64(group), F.col(group).isNull()))).first()
         live = folded.select(group, F.floor(F.col("_class") / COARSER).alias("_class"), F.col("_acc.held").alias("_unit"))
         if wide[1] == wide[2]:  # one fraction per group
@@ -159,7 +160,8 @@ def pivotal_rounding(
     last = live.select(
         "_unit.row.*", (_draw(F.lit(seed), F.lit(-1), F.col("_unit.key")) < F.col("_unit.p")).cast("int").alias("take")
     )
-    return out.union(last)
+    last.write.mode("append").parquet(path)
+    return units.sparkSession.read.schema(settled.schema).parquet(path)
 
 
 def mix_sources(
