@@ -11,7 +11,7 @@ from inkweave.scale import cut_lineage
 from .chat import format_chats, read_back
 from .decontaminate import benchmark_leaks
 from .licenses import license_scan
-from .line_dedup import cleaned_texts, repeated_units
+from .line_dedup import cleaned_texts, repeated_runs, repeated_units
 from .minhash import minhash_classes
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_classes
@@ -56,10 +56,11 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = cut_lineage(repeated_units(docs), "repeats").withColumnsRenamed({"id": "doc_id", "kept_id": "kept_doc_id"})
-    cleaned = cleaned_texts(docs, found.withColumnRenamed("doc_id", "id")).withColumnRenamed("text_key", "_key")
-    same = found["doc_id"].eqNullSafe(cleaned["id"]) & (found["text_key"] == cleaned["_key"])
-    return found.join(cleaned, same).drop("id", "_key")
+    found = cut_lineage(repeated_units(docs, all_occurrences=True), "repeats")
+    cleaned = cleaned_texts(docs, found.filter(~F.col("kept"))).withColumnsRenamed({"id": "_id", "text_key": "_key"})
+    passages = repeated_runs(found)
+    same = passages["id"].eqNullSafe(cleaned["_id"]) & (passages["text_key"] == cleaned["_key"])
+    return passages.join(cleaned, same, "left").drop("_id", "_key").withColumnRenamed("id", "doc_id")
 
 
 @query

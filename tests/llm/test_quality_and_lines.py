@@ -10,7 +10,7 @@ import pytest
 from llm_helpers import prose, words
 
 from inkweave.llm import queries
-from inkweave.llm.line_dedup import repeated_units, without_repeats
+from inkweave.llm.line_dedup import PASSAGE_WORDS, repeated_runs, repeated_units, without_repeats
 from inkweave.llm.quality import js_distance, quality_rules
 
 
@@ -79,21 +79,59 @@ def test_repeated_lines(documents, messy):
     assert repeated_units(messy, min_words=1).count() > 0
 
 
+def passages_of(texts, least):
+    """Runs of neighbouring lines that occur twice or more, from plain Python."""
+    keys = {d: [tuple(words(x, fold=True)) for x in (t or "").split("\n")] for d, t in texts.items()}
+    times = collections.Counter(k for own in keys.values() for k in own if k)
+    first, out = {}, []
+    for d in sorted(keys):
+        for i, k in enumerate(keys[d]):
+            first.setdefault(k, (d, i))
+    for d, own in keys.items():
+        run = []
+        for i, k in [*enumerate(own), (None, ("end",))]:
+            if k and times[k] > 1:
+                run.append(i)
+            elif k:
+                if sum(len(own[j]) for j in run) >= least:
+                    gone = sum(len(own[j]) for j in run if first[own[j]] != (d, j))
+                    out.append((d, run[0], run[-1], sum(len(own[j]) for j in run), gone))
+                run = []
+    return sorted(out)
+
+
 def test_query_takes_all_lines_and_cleans(spark, documents):
     texts = {r.doc_id: r.text for r in documents.collect()}
     got = queries.op4_line_dedup(spark, "/root/testdata/sf0.001").collect()
-    want = lines_of(list(texts.items()), 1)
-    assert sorted(((r.doc_id, r.unit, r.start, r.length, r.kept_doc_id, r.kept_unit) for r in got), key=str) == want
-    assert any(r.words < 15 for r in got)
+    rows = sorted((r.doc_id, r.first_unit, r.last_unit, r.words, r.removed_words) for r in got)
+    assert rows == passages_of(texts, PASSAGE_WORDS)
+    assert any(r[4] == 0 for r in rows) and any(0 < r[4] for r in rows)
+    for r in got:
+        lines = texts[r.doc_id].split("\n")
+        at = sum(len(x) + 1 for x in lines[: r.first_unit])
+        assert (r.start, r.length) == (at, len("\n".join(lines[r.first_unit : r.last_unit + 1])))
+    # Short lines that are no passage are removed all the same.
     gone = collections.defaultdict(set)
-    for doc, unit, *_ in want:
+    for doc, unit, *_ in lines_of(list(texts.items()), 1):
         gone[doc].add(unit)
     left = {
         d: "".join(x + "\n" * (i + 1 < t.count("\n") + 1) for i, x in enumerate(t.split("\n")) if i not in gone[d])
         for d, t in texts.items() if d in gone
     }
     rows = spark.createDataFrame(list(left.items()), "doc_id long, text string").selectExpr("doc_id", "length(text) n", "xxhash64(text) h")
-    assert {(r.doc_id, r.cleaned_length, r.cleaned_digest) for r in got} == {tuple(r) for r in rows.collect()}
+    want = {r.doc_id: (r.n, r.h) for r in rows.collect()}
+    assert {(r.doc_id, r.cleaned_length, r.cleaned_digest) for r in got} == {(r.doc_id, *want.get(r.doc_id, (None, None))) for r in got}
+
+
+def test_runs_over_blank_lines_and_repeated_rows(spark, empty):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(1, f"{a}\n\n{b}\nown words here"), (2, f"start\n{b}\nmore"), (None, f"{a}\n{b}"), (None, f"{a}\n{b}"), (3, None), (3, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept string")
+    got = repeated_runs(repeated_units(df, all_occurrences=True))
+    assert sorted(((r.id, r.first_unit, r.last_unit, r.start, r.length, r.words, r.removed_words) for r in got.collect()), key=str) == [
+        (1, 0, 2, 0, len(a) + 2 + len(b), 12, 12), (None, 0, 1, 0, len(a) + 1 + len(b), 12, 0)
+    ]
+    assert repeated_runs(repeated_units(empty, all_occurrences=True)).count() == 0
 
 
 def test_cut_lines_and_paragraphs(spark, empty):
