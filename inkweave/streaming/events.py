@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.membership import FOLD_SCHEMA, KEYS, NOTHING, STATE_FIELDS, STATE_SCHEMA, _foreign, fold_rows
-from ..operators.probes import PING_TIMEOUT, PROBE_ROUNDS
+from ..operators.probes import PING_TIMEOUT, PROBE_ROUNDS, SUSPICION_TIMEOUT
 
 
 def debounce(events: DataFrame, gap: str = "500 milliseconds", watermark: str | None = None) -> DataFrame:
@@ -177,3 +177,107 @@ def probe_stream(pings: DataFrame, acks: DataFrame, timeout: float = PING_TIMEOU
     joined = sent.join(got, (F.col("seq") == F.col("a_seq")) & (F.col("ack") >= F.col("sent")) & (F.col("ack") < F.col("sent") + whole), "left_outer")
     outcome = F.when(F.col("ack").isNull(), "suspected").when(F.col("ack") < F.col("sent") + short, "ok").otherwise("late")
     return joined.select("seq", "target", outcome.alias("outcome"))
+
+
+PROBE_STATE = "target string, sent double, asked long, ack_at double, alive_at double, n_no long, no_at double"
+
+
+def probe_states_stream(messages: DataFrame, timeout: float = PING_TIMEOUT, watermark: str = "10 seconds") -> DataFrame:
+    """(seq, target, outcome, decided_at) of probes, as their time ends.
+
+    ``messages`` has seq (of the probe), ts, kind (ping, ack, reply), target and asked (of a ping) and alive (of
+    a reply).  The state of a probe is one row, what has been heard so far; a timer at the end of the probing
+    decides as :func:`classify_probes` does on what was heard up to then, and drops it.  Messages
+    without a ping are dropped by a timer as well.
+    """
+    whole = PROBE_ROUNDS * timeout
+
+    def first(old, new):
+        return new if old is None else old if new is None else min(old, new)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["seq", "target", "outcome", "decided_at"]
+        if state.hasTimedOut:
+            target, sent, asked, ack_at, alive_at, n_no, no_at = state.get
+            state.remove()
+            if sent is not None:
+                ends = sent + whole
+                all_no = no_at if asked > 0 and n_no >= asked else None
+                at = min(x for x in (ack_at, alive_at, all_no, ends) if x is not None)
+                outcome = (
+                    ("ok" if ack_at < sent + timeout else "late") if ack_at == at < ends
+                    else "alive" if alive_at == at < ends else "suspected"
+                )
+                yield pd.DataFrame([(key[0], target, outcome, at)], columns=columns)
+            return
+        rows = pd.concat(list(parts))
+        at = rows["ts"].astype("int64") / (1e9 if rows["ts"].dtype == "datetime64[ns]" else 1e6)
+        target, sent, asked, ack_at, alive_at, n_no, no_at = state.get if state.exists else (None, None, 0, None, None, 0, None)
+        least = lambda mask: float(at[mask].min()) if mask.any() else None
+        ping = rows["kind"] == "ping"
+        if ping.any():
+            target, asked, sent = rows.loc[ping, "target"].iloc[0], int(rows.loc[ping, "asked"].iloc[0]), least(ping)
+        reply = rows["kind"] == "reply"
+        yes = reply & (rows["alive"] == True)  # noqa: E712
+        no = reply & ~yes
+        ends = None if sent is None else sent + whole
+        inside = at < ends if ends is not None else at >= 0  # a ping comes before what answers it
+        ack_at = first(ack_at, least((rows["kind"] == "ack") & inside))
+        alive_at = first(alive_at, least(yes & inside))
+        if (no & inside).any():
+            n_no, no_at = n_no + int((no & inside).sum()), max(no_at or 0.0, float(at[no & inside].max()))
+        state.update((target, sent, asked, ack_at, alive_at, n_no, no_at))
+        last = ends if ends is not None else float(at.max()) + whole
+        state.setTimeoutTimestamp(max(int(last * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([], columns=columns)
+
+    return (
+        messages.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", watermark)
+        .groupBy("seq")
+        .applyInPandasWithState(
+            step, "seq long, target string, outcome string, decided_at double", PROBE_STATE, "append",
+            GroupStateTimeout.EventTimeTimeout,
+        )
+    )
+
+
+def suspicion_stream(rows: DataFrame, timeout: float = SUSPICION_TIMEOUT, watermark: str = "10 seconds") -> DataFrame:
+    """(peer, seq, outcome) of suspicions: cleared, renewed or dead, as soon as it is known.
+
+    ``rows`` has peer, seq, ts and kind (renewed for a suspicion, cleared for a sign of life).  A peer's open
+    suspicion is its state; the next row of the peer decides it, or a timer at its end.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            seq = state.get[0]
+            state.remove()
+            yield pd.DataFrame([(key[0], seq, "dead")], columns=["peer", "seq", "outcome"])
+            return
+        own = _in_order(parts)[["seq", "ts", "kind"]]
+        if state.exists:
+            seq, at = state.get
+            own = pd.concat([pd.DataFrame({"seq": [seq], "ts": pd.to_datetime([at], unit="us").astype(own["ts"].dtype), "kind": ["renewed"]}), own])
+        waited = (own["ts"].shift(-1) - own["ts"]).dt.total_seconds()
+        own["outcome"] = own["kind"].shift(-1).where(waited < timeout, "dead")
+        decided = own.iloc[:-1]
+        out = decided.loc[decided["kind"] == "renewed", ["seq", "outcome"]]
+        last = own.iloc[-1]
+        if last["kind"] == "renewed":
+            at = last["ts"].value // 1000
+            state.update((int(last["seq"]), at))
+            state.setTimeoutTimestamp(max(at // 1000 + int(timeout * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        out.insert(0, "peer", key[0])
+        yield out
+
+    return (
+        rows.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", watermark)
+        .groupBy("peer")
+        .applyInPandasWithState(
+            step, "peer string, seq long, outcome string", "seq long, at long", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    )

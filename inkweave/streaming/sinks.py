@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from ..scale import new_table_path
@@ -20,3 +22,25 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
     )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(target)
+
+
+def run_in_batches(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """Feed ``parts`` to a stream one after another, as micro-batches of one query that keeps its state.
+
+    ``make`` turns the stream of their rows into the stream whose rows are returned.
+    """
+    spark = parts[0].sparkSession
+    source, target = new_table_path(spark, f"{label}-in"), new_table_path(spark, label)
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = make(spark.readStream.schema(part.schema).parquet(source))
+        (
+            stream.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", target)
+            .option("checkpointLocation", target + "-state")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    return spark.read.schema(stream.schema).parquet(target)
