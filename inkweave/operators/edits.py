@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.frontmatter import build_content, frontmatter_table
-from ..scale import cut_lineage
+from ..scale import carried_value, cut_lineage, with_slices
 
 # Fixed value: characters of a text shown in a change list.
 SNIPPET = 60
@@ -141,30 +141,69 @@ def guard_moves(notes: DataFrame, moves: DataFrame) -> DataFrame:
     return _first_wins(checked, "dst", "destination exists")
 
 
+def final_names(renames: DataFrame) -> DataFrame:
+    """Add ``last_name`` to renames (seq, old_name, new_name): what the name is called in the end.
+
+    A rename is followed by the next one of its new name.  The chains are resolved by pointer jumping: in
+    every round each rename looks where its follower points, so the distance doubles and a chain of n
+    renames takes log n joins; no list of renames is held anywhere.
+    """
+    renames = cut_lineage(renames, "renames")
+    rows = renames.select(F.col("old_name").alias("name"), (-F.col("seq")).alias("at"), F.col("seq").alias("is_rename")).unionByName(
+        renames.select(F.col("new_name").alias("name"), (-F.col("seq")).alias("at")), allowMissingColumns=True
+    )
+    carried = carried_value(with_slices(rows, ["name"], "at"), ["name"], "at", F.col("is_rename"), "next", before=True)
+    follows = carried.filter("is_rename is null").select((-F.col("at")).alias("seq"), F.coalesce("next", -F.col("at")).alias("to"))
+    follows = cut_lineage(follows, "follows")
+    while True:
+        there = follows.select(F.col("seq").alias("to"), F.col("to").alias("_far"))
+        jumped = cut_lineage(follows.join(there, "to").select("seq", F.col("_far").alias("to"), (F.col("_far") != F.col("to")).alias("_moved")), "follows")
+        moved = jumped.filter("_moved").limit(1).count()
+        follows = jumped.select("seq", "to")
+        if not moved:
+            break
+    ends = renames.select(F.col("seq").alias("to"), F.col("new_name").alias("last_name"))
+    return renames.join(follows, "seq").join(ends, "to").drop("to")
+
+
 def rewrite_links(notes: DataFrame, links: DataFrame, moves: DataFrame) -> DataFrame:
-    """(path, content) of the notes whose plain ``[[Old]]`` links a move changes.
+    """(path, content) of the notes whose plain ``[[Old]]`` links the moves change.
 
-    Only notes that link to the old name and hold the literal text count, and never the
-    moved note itself.  The moves that touch one note are at most its links.
+    A link follows its name through all later renames (:func:`final_names`).  Only notes that link to a
+    renamed name and hold the literal text count, and a note's own move does not start a chain in it.  A
+    note meets one new name for each of its own links, and all are put in at once.
     """
     renames = moves.select(
         "seq",
         F.col("src").alias("moved"),
-        paths.file_name(paths.strip_md(F.col("src"))).alias("tgt_name"),
+        paths.file_name(paths.strip_md(F.col("src"))).alias("old_name"),
         paths.file_name(paths.strip_md(F.col("dst"))).alias("new_name"),
-    )
+    ).filter("old_name <> new_name")
+    renames = cut_lineage(final_names(renames), "renames")
+    # A note is moved once, so of the first two renames of a name one is not its own.
+    pick = F.struct("seq", "moved", "last_name")
+    first = cut_lineage(renames.groupBy("old_name").agg(F.min(pick).alias("one")), "first")
+    second = renames.join(first, "old_name").filter("seq > one.seq").groupBy("old_name").agg(F.min(pick).alias("two"))
+    starts = first.join(second, "old_name", "left").withColumnRenamed("old_name", "tgt_name")
+    own = F.when(F.col("one.moved") != F.col("src"), F.col("one")).otherwise(F.col("two"))
     bracket = lambda c: F.concat(F.lit("[["), c, F.lit("]]"))
     touched = (
-        links.select("src", "tgt_name")
-        .join(renames, "tgt_name")
-        .filter("src <> moved")
-        .groupBy(F.col("src").alias("path"))
-        .agg(F.array_sort(F.collect_list(F.struct("seq", bracket(F.col("tgt_name")).alias("old"), bracket(F.col("new_name")).alias("new")))).alias("renames"))
+        links.select("src", "tgt_name").distinct()
+        .join(starts, "tgt_name")
+        .select(F.col("src").alias("path"), "tgt_name", own["last_name"].alias("new_name"))
+        .filter("new_name is not null")
+        .groupBy("path")
+        .agg(F.collect_list(F.struct(bracket(F.col("tgt_name")).alias("old"), bracket(F.col("new_name")).alias("new"))).alias("renames"))
     )
-    changed = F.aggregate("renames", F.col("content"), lambda text, r: F.replace(text, r["old"], r["new"]))
+    # Old names become numbers first, so that a new name is never taken for an old one.
+    mark = lambda i: F.concat(F.lit("[[\0"), i.cast("string"), F.lit("]]"))
+    numbers = F.sequence(F.lit(0), F.size("renames") - 1)
+    marked = F.aggregate(numbers, F.col("content"), lambda text, i: F.replace(text, F.col("renames")[i]["old"], mark(i)))
+    changed = F.aggregate(numbers, F.col("_marked"), lambda text, i: F.replace(text, mark(i), F.col("renames")[i]["new"]))
     return (
         notes.select("path", "content")
         .join(touched, "path")
+        .withColumn("_marked", marked)
         .select("path", "content", changed.alias("_new"))
         .filter("content <> _new")
         .select("path", F.col("_new").alias("content"))

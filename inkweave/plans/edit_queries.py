@@ -107,13 +107,22 @@ def guard_deletes(spark, sf):
 
 
 @query("txt13_rewrite_links", V.with_views("""
-, renames as (select seq, src as moved, regexp_extract(src, '([^/]*)\\.md$', 1) as old_name, regexp_extract(dst, '([^/]*)\\.md$', 1) as new_name
-  from guarded where error is null),
-hits as (select links.src as path, list({'seq': seq, 'o': '[[' || old_name || ']]', 'n': '[[' || new_name || ']]'} order by seq) as r
-  from links join renames on tgt_name = old_name where links.src <> moved group by links.src),
-done as (select path, content, list_reduce(list_transform(r, lambda x: [x.o, x.n]), lambda acc, x: [replace(acc[1], x[1], x[2]), ''], [content, ''])[1] as new_content
-  from hits join notes using (path))
-select path, sha256(new_content) as hash from done where new_content <> content""".replace("\n, renames", "renames"), V.NOTES, V.LINKS, MOVES).replace("\nrenames", ",\nrenames"))
+, renames as (select * from (select seq, src as moved, regexp_extract(src, '([^/]*)\\.md$', 1) as old_name, regexp_extract(dst, '([^/]*)\\.md$', 1) as new_name
+  from guarded where error is null) where old_name <> new_name),
+starts as (select l.path, l.name, new_name, seq, row_number() over (partition by l.path, l.name order by seq) as rn
+  from (select distinct src as path, tgt_name as name from links) l join renames on old_name = l.name where moved <> l.path),
+chain(path, old_name, name, seq) as (
+  select path, name, new_name, seq from starts where rn = 1
+  union all
+  select path, old_name, new_name, seq from (
+    select c.path, c.old_name, r.new_name, r.seq, row_number() over (partition by c.path, c.old_name order by r.seq) as rn
+    from chain c join renames r on r.old_name = c.name and r.seq > c.seq) where rn = 1),
+hits as (select path, list({'o': '[[' || old_name || ']]', 'n': '[[' || name || ']]'}) as r
+  from (select path, old_name, arg_max(name, seq) as name from chain group by all) group by path),
+done as (select path, content, list_reduce(list_transform(r, lambda x: [x.o, x.n]), lambda acc, x: [replace(acc[1], x[1], '[[' || chr(1) || md5(x[1]) || ']]'), ''], [content, ''])[1] as marked, r
+  from hits join notes using (path)),
+put as (select path, content, list_reduce(list_transform(r, lambda x: [x.o, x.n]), lambda acc, x: [replace(acc[1], '[[' || chr(1) || md5(x[1]) || ']]', x[2]), ''], [marked, ''])[1] as new_content from done)
+select path, sha256(new_content) as hash from put where new_content <> content""".replace("\n, renames", "renames"), V.NOTES, V.LINKS, MOVES).replace("\nrenames", ",\nrenames"))
 def rewrite_links(spark, sf):
     notes = V.notes(spark, sf)
     accepted = E.guard_moves(notes, moves(spark, sf)).filter("error is null")

@@ -384,3 +384,34 @@ def test_step_tables_are_deleted(spark):
         gone.collect()
     with pytest.raises(ValueError):
         scale.drop_steps(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+
+
+def follow(name, renames, moved=None):
+    """What a link to ``name`` reads after renames (old, new) in order; ``moved`` is left out at the start."""
+    started = False
+    for i, (old, new) in enumerate(renames):
+        if old == name and (started or i != moved):
+            name, started = new, True
+    return name
+
+
+@pytest.mark.parametrize("chain", [7, 33])
+def test_renames_in_chains(spark, chain):
+    rng = random.Random(chain)
+    names = [f"n{i}" for i in range(6)]
+    moves = [(rng.choice(names), rng.choice(names)) for _ in range(40)] + [(f"c{i}", f"c{i + 1}") for i in range(chain)]
+    named = [(i, old, new) for i, (old, new) in enumerate(moves) if old != new]
+    df = spark.createDataFrame(named, "seq long, old_name string, new_name string")
+    got = {r.seq: r.last_name for r in edits.final_names(df).collect()}
+    assert got == {i: follow(new, [m for m in moves[i + 1 :]]) for i, _, new in named}
+    assert got[40] == f"c{chain}"
+
+
+def test_links_follow_renames_at_once(spark):
+    notes = make_notes(spark, {"A.md": "[[B]] [[C]] [[B|x]] [[D]]", "x/B.md": "[[B]] [[C]]", "y/C.md": "own [[C]]", "E.md": "[[D]] [[E]]"})
+    rows = [(1, "y/C.md", "y/D.md"), (2, "x/B.md", "x/C.md"), (3, "q/D.md", "q/B.md"), (4, "E.md", "k/E.md"), (5, "z/C.md", "z/F.md")]
+    moves = spark.createDataFrame(rows, "seq long, src string, dst string")
+    got = dict(map(tuple, edits.rewrite_links(notes, links.note_links(notes), moves).collect()))
+    # C -> D (1) -> B (3); B -> C (2) -> F (5); D -> B (3).
+    assert got["A.md"] == "[[F]] [[B]] [[B|x]] [[B]]" and got["E.md"] == "[[B]] [[E]]"
+    assert got["x/B.md"] == "[[B]] [[B]]" and got["y/C.md"] == "own [[F]]"
