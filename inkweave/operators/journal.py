@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.dates import day_abbrev, format_12h, iso_week_date, parse_12h, valid_iso_week, week_key
-from ..scale import ROWS_PER_SLICE, carried_value, with_slices
+from ..scale import ROWS_PER_SLICE, carried_value, cut_lineage, rank_in_group, with_slices
 
 # Notes every session starts with.
 LOG_NOTE = "Log.md"
@@ -111,6 +111,110 @@ def append_log(log: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def insert_into_log(lines: DataFrame, new: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """(log_id, line_no, line): all lines of the logs, numbered from 1, after new entries are put in.
+
+    ``lines`` has log_id, line_no and line, in file order; ``new`` has log_id, ts, seq and text.  An entry goes
+    into the section of its day, the lines from the first one that is exactly its header to the next that
+    begins with ``##``: before the first timed entry that is later, else behind the last line with a dash,
+    else behind the header and the blank lines under it.  Entries of one place are in order of time, then
+    ``seq``.  A day without a section gets one at the end of the file, new days in order of their first
+    ``seq``: a blank line (not in an empty file), the header, a blank line, the entries, a blank line.  Entries
+    of days that are there are placed before new days are added.
+
+    Places are looked up in one row per section and minute; lines are numbered by ranges of their order, so
+    that one huge log is not one task.
+    """
+    is_head = F.col("line").startswith("##")
+    sliced = with_slices(lines.select("log_id", F.col("line_no").cast("long").alias("line_no"), "line"), ["log_id"], "line_no", rows_per_slice)
+    in_section = cut_lineage(
+        carried_value(sliced, ["log_id"], "line_no", F.when(is_head, F.col("line_no")), "section").drop("_slice"), "lines"
+    )
+    day = iso_week_date(F.col("ts"))
+    added = cut_lineage(
+        new.select(
+            "log_id",
+            F.concat(F.lit("## "), day, F.lit(" ("), day_abbrev(day), F.lit(")")).alias("header"),
+            (F.hour("ts") * 60 + F.minute("ts")).cast("long").alias("minute"),
+            F.col("seq").cast("long").alias("seq"),
+            entry_line(F.col("ts"), F.col("text")).alias("line"),
+        ),
+        "added",
+    )
+    wanted = added.select("log_id", F.col("header").alias("line")).distinct()
+    heads = (
+        in_section.filter(is_head).join(wanted, ["log_id", "line"], "left_semi")
+        .groupBy("log_id", F.col("line").alias("header")).agg(F.min("line_no").alias("section"))
+    )
+    ours = in_section.join(heads, ["log_id", "section"])
+    dash = F.col("line").startswith("-")
+    under = F.col("line_no") > F.col("section")
+    blank = paths.trim_space(F.col("line")) == ""
+    last = in_section.groupBy("log_id").agg(F.max("line_no").alias("last_line"))
+    # Where the next line that is not blank stands behind a header whose section has nothing but blank lines.
+    ends = ours.groupBy("log_id", "header", "section").agg(
+        F.max(F.when(dash & under, F.col("line_no"))).alias("last_dash"),
+        F.min(F.when(under & ~blank, F.col("line_no"))).alias("first_text"),
+        F.max("line_no").alias("section_end"),
+    )
+    behind = ends.join(last, "log_id").select(
+        "log_id", "header",
+        # (line, side): side 0 is before the line, 2 behind it.
+        F.when(F.col("last_dash").isNotNull(), F.struct(F.col("last_dash").alias("at"), F.lit(2).alias("side")))
+        .when(F.col("first_text").isNotNull(), F.struct(F.col("first_text").alias("at"), F.lit(0).alias("side")))
+        .otherwise(F.struct(F.col("section_end").alias("at"), F.lit(2).alias("side"))).alias("end"),
+    )
+    cut = F.instr("line", DASH)
+    timed = F.col("line").startswith("- ") & (cut > 0)
+    minute = F.when(timed, parse_12h(F.substring("line", F.lit(3), cut - 3), strict=False)).cast("long")
+    firsts = (
+        ours.filter(dash & under).select("log_id", "header", minute.alias("minute"), "line_no").filter("minute is not null")
+        .unionByName(added.select("log_id", "header", "minute"), allowMissingColumns=True)
+        .groupBy("log_id", "header", "minute").agg(F.min("line_no").alias("line_no"))
+    )
+    later = Window.partitionBy("log_id", "header").orderBy(F.desc("minute")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = firsts.select("log_id", "header", "minute", F.min("line_no").over(later).alias("slot"))
+    place = lambda at, side, *rest: F.struct(
+        at.cast("long").alias("at"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"),
+        *[F.lit(x).cast("long").alias(n) if isinstance(x, int) else x.cast("long").alias(n) for n, x in zip(("day", "part", "minute", "seq"), rest, strict=True)],
+    ).alias("place")
+    known = added.join(behind, ["log_id", "header"]).join(slots, ["log_id", "header", "minute"]).select(
+        "log_id",
+        place(
+            F.coalesce("slot", "end.at"), F.when(F.col("slot").isNotNull(), 0).otherwise(F.col("end.side")), 0, 0, F.col("minute"), F.col("seq")
+        ),
+        "line",
+    )
+    fresh = added.join(heads, ["log_id", "header"], "left_anti").join(last, "log_id", "left")
+    days = fresh.groupBy("log_id", "header").agg(F.min("seq").alias("first"), F.max("last_line").alias("last_line"))
+    start = days.groupBy("log_id").agg(F.min("first").alias("first_day"))
+    frame = days.join(start, "log_id").select(
+        "log_id", "header", "first", "last_line",
+        F.explode(
+            F.filter(
+                F.array(
+                    F.struct(F.lit(0).alias("part"), F.when(F.col("last_line").isNotNull() | (F.col("first") != F.col("first_day")), "").alias("line")),
+                    F.struct(F.lit(1).alias("part"), F.col("header").alias("line")),
+                    F.struct(F.lit(2).alias("part"), F.lit("").alias("line")),
+                    F.struct(F.lit(4).alias("part"), F.lit("").alias("line")),
+                ),
+                lambda x: x["line"].isNotNull(),
+            )
+        ).alias("f"),
+    )
+    at_end = F.coalesce("last_line", F.lit(0))
+    appended = frame.select("log_id", place(at_end, 3, F.col("first"), F.col("f.part"), 0, 0), "f.line").unionByName(
+        fresh.join(days.select("log_id", "header", "first"), ["log_id", "header"]).select(
+            "log_id", place(at_end, 3, F.col("first"), 3, F.col("minute"), F.col("seq")), "line"
+        )
+    )
+    old = in_section.select("log_id", place(F.col("line_no"), 1, 0, 0, 0, 0), "line")
+    placed = old.unionByName(known).unionByName(appended)
+    return rank_in_group(placed, ["log_id"], "place", "line_number", rows_per_slice).select(
+        "log_id", F.col("line_number").alias("line_no"), "line"
+    )
+
+
 def check_day_requests(requests: DataFrame) -> DataFrame:
     """(day, n_entries, error) of requests to replace days; one bad time rejects the day.
 

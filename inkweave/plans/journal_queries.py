@@ -115,6 +115,47 @@ def append_log(spark, sf):
     return J.append_log(old_log(ev), new).withColumn("is_old", F.col("is_old").cast("long"))
 
 
+# Log files, one per user: days come in any order and a day may have several sections.
+FILE_LINES_SPARK = """case cast((seq + user_id) % 7 as int) when 0 then {header} when 1 then '' when 2 then '### part' when 3 then '- odd entry ' || seq
+  when 4 then 'text' else '- ' || ((seq * 5) % 12 + 1) || ':' || lpad(cast(seq % 60 as {S}), 2, '0') || {half} || ' – ' || event_type end"""
+HEADER_SQL = f"'## ' || {ISO_SQL} || ' (' || {ABBREV_SQL}[isodow(ts)::int] || ')'"
+FILE_LINES_SQL = FILE_LINES_SPARK.format(header=HEADER_SQL, S="varchar", half="case when seq % 2 = 0 then ' AM' else ' PM' end")
+
+
+@query("win7_insert_into_log", V.with_views(f"""
+lines as (select user_id as log_id, seq as line_no, {FILE_LINES_SQL} as line from ev where event_type <> 'purchase'),
+cutup as (select *, last_value(case when starts_with(line, '##') then line_no end ignore nulls) over (partition by log_id order by line_no) as section from lines),
+added as (select user_id as log_id, {HEADER_SQL} as header, (hour(ts) * 60 + minute(ts))::bigint as minute, seq, '- ' || {H12_SQL} || ' – bought' as line
+  from ev where event_type = 'purchase'),
+heads as (select log_id, line as header, min(line_no) as section from lines semi join (select distinct log_id, header as line from added) using (log_id, line) group by all),
+ours as (select header, c.*, case when regexp_matches(line, '^- \\d+:\\d+ (AM|PM) – ') then
+    ((regexp_extract(line, '^- (\\d+)', 1)::int % 12) + case when contains(line, ' PM – ') then 12 else 0 end) * 60 + regexp_extract(line, ':(\\d+)', 1)::int end as minute
+  from cutup c join heads using (log_id, section)),
+behind as (select log_id, header, max(case when starts_with(line, '-') then line_no end) as last_dash,
+  min(case when line_no > section and trim(line) <> '' then line_no end) as first_text, max(line_no) as section_end from ours group by log_id, header),
+lasts as (select log_id, max(line_no) as last_line from lines group by log_id),
+slots as (select a.log_id, a.seq, min(o.line_no) as slot from added a join ours o on o.log_id = a.log_id and o.header = a.header and o.minute > a.minute group by all),
+fresh as (select * from added anti join heads using (log_id, header)),
+days as (select log_id, header, min(seq) as first from fresh group by log_id, header),
+placed as (
+  select log_id, line_no as pos, 1 as side, 0 as day, 0 as part, 0 as minute, 0 as seq, line from lines
+  union all select log_id, coalesce(slot, last_dash, first_text, section_end), case when slot is not null then 0 when last_dash is not null then 2 when first_text is not null then 0 else 2 end,
+    0, 0, minute, seq, line from added join behind using (log_id, header) left join slots using (log_id, seq)
+  union all select log_id, coalesce(last_line, 0), 3, first, part, 0, 0, text from (
+    select d.*, last_line, unnest([0, 1, 2, 4]) as part, unnest(['', d.header, '', '']) as text, min(first) over (partition by d.log_id) as first_day
+    from days d left join lasts using (log_id)) where part > 0 or last_line is not null or first <> first_day
+  union all select log_id, coalesce(last_line, 0), 3, first, 3, minute, seq, line from fresh join days using (log_id, header) left join lasts using (log_id))
+select log_id, row_number() over (partition by log_id order by pos, side, day, part, minute, seq) as line_no, line from placed""".lstrip(), V.EVENTS + ","))
+def insert_into_log(spark, sf):
+    ev = V.events(spark, sf)
+    header = "concat('## ', day, ' (', abbrev, ')')"
+    lines = ev.filter("event_type <> 'purchase'").withColumn("day", D.iso_week_date(F.col("ts"))).withColumn("abbrev", D.day_abbrev(F.col("day"))).selectExpr(
+        "user_id as log_id", "seq as line_no", FILE_LINES_SPARK.format(header=header, S="string", half="if(seq % 2 = 0, ' AM', ' PM')") + " as line"
+    )
+    new = ev.filter("event_type = 'purchase'").select(F.col("user_id").alias("log_id"), "ts", "seq", F.lit("- bought").alias("text"))
+    return J.insert_into_log(lines, new)
+
+
 # Requests to replace days: some empty, some with a bad time, some with a bad day.
 REQUESTS_SQL = f"""requests as (select case when k = 9 then 'bad' else {ISO_SQL} end as day,
   case when k < 8 then {H12_SQL} when k = 8 and seq % 5 = 0 then '13:00 PM' end as time, event_type as text from ev where k < 10),

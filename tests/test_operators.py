@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -415,3 +416,61 @@ def test_links_follow_renames_at_once(spark):
     # C -> D (1) -> B (3); B -> C (2) -> F (5); D -> B (3).
     assert got["A.md"] == "[[F]] [[B]] [[B|x]] [[B]]" and got["E.md"] == "[[B]] [[E]]"
     assert got["x/B.md"] == "[[B]] [[B]]" and got["y/C.md"] == "own [[F]]"
+
+
+def plain_insert(lines, entries):
+    """One entry after another into a file, days that are there first."""
+    from datetime import datetime
+
+    lines = list(lines)
+    iso = lambda t: "{0}-W{1:02d}-{2}".format(*datetime.fromisoformat(t).isocalendar())
+    header = lambda t: f"## {iso(t)} ({datetime.fromisoformat(t):%a})"
+    known = {h for h in lines if h.startswith("## ")}
+
+    def minute(line):
+        m = re.fullmatch(r"- (\d+):(\d+) (AM|PM) – .*", line)
+        return (int(m[1]) % 12 + 12 * (m[3] == "PM")) * 60 + int(m[2]) if m else None
+
+    for t, _, text in sorted(entries, key=lambda e: (header(e[0]) not in known, e[1])):
+        at = datetime.fromisoformat(t)
+        entry = f"- {at.hour % 12 or 12}:{at.minute:02d} {'PM' if at.hour > 11 else 'AM'} – {text}"
+        if header(t) not in lines:
+            lines += [""] * bool(lines) + [header(t), "", entry, ""]
+            continue
+        start = lines.index(header(t)) + 1
+        while start < len(lines) and not lines[start].strip():
+            start += 1
+        place, i = start, start
+        while i < len(lines) and not lines[i].startswith("##"):
+            if lines[i].startswith("-"):
+                m = minute(lines[i])
+                if m is not None and m > at.hour * 60 + at.minute:
+                    place = i
+                    break
+                place = i + 1
+            i += 1
+        lines.insert(place, entry)
+    return lines
+
+
+@pytest.mark.parametrize("per_slice", [3, 10**6])
+def test_entries_put_into_files_out_of_day_order(spark, per_slice):
+    rng = random.Random(14)
+    days = ["2024-01-03", "2024-01-01", "2024-01-04", "2024-01-02", "2024-01-05", "2024-01-06"]
+    heads = ["## 2024-W01-3 (Wed)", "## 2024-W01-1 (Mon)", "## 2024-W01-4 (Thu)", "## 2024-W01-2 (Tue)"]
+    files = {1: [], 2: ["text"], 3: []}
+    for i, head in enumerate([*heads, heads[0]]):
+        files[3] += [head, "", *[""] * (i % 2)]
+        for _ in range((0, 3, 5, 2, 1)[i]):
+            h = rng.randrange(24)
+            files[3].append(rng.choice([f"- {h % 12 or 12}:{rng.randrange(60):02d} {'PM' if h > 11 else 'AM'} – old", "- untimed", "note", "  "]))
+        files[3] += ["### part", "- not in the section"] if i == 2 else [""]
+    entries = {log: [(f"{rng.choice(days)} {rng.randrange(24):02d}:{rng.choice([0, 30]):02d}:00", 10 * log + i, f"new {i}") for i in range(14)] for log in files}
+    lines = spark.createDataFrame([(log, 2 * i + 5, x) for log, own in files.items() for i, x in enumerate(own)], "log_id long, line_no long, line string")
+    new = spark.createDataFrame([(log, *e) for log, own in entries.items() for e in own], "log_id long, ts string, seq long, text string").withColumn("ts", F.to_timestamp("ts"))
+    got = {}
+    for r in journal.insert_into_log(lines, new, per_slice).orderBy("log_id", "line_no").collect():
+        got.setdefault(r.log_id, []).append((r.line_no, r.line))
+    for log, own in files.items():
+        want = plain_insert(own, entries[log])
+        assert got[log] == list(enumerate(want, 1)), log
