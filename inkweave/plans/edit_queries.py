@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import versions as W
 from ..operators import edits as E
 from ..operators import reconcile as R
+from ..scale import new_table_path
+from ..sources.notes import publish, read_version, sweep_attempts
 from . import views as V
 from .registry import query
 
@@ -129,6 +131,28 @@ def rewrite_links(spark, sf):
     return E.rewrite_links(notes, V.links(spark, sf), accepted).select("path", F.sha2("content", 256).alias("hash"))
 
 
+@query("snk1_publish", V.with_views("""
+, w as (select doc_id as seq, case when doc_id % 4 = 0 then 'new/' || name || '.md' else path end as path,
+    case when doc_id % 5 = 0 then null when doc_id % 13 = 0 then 'stale' else sha256(content) end as h,
+    doc_id % 4 <> 0 as known, sha256(content) as cur, content || ' edited' as content from notes),
+ok as (select * from w where case when known then h = cur else h is null end qualify row_number() over (partition by path order by seq) = 1)
+select path, sha256(content) as hash, 2::bigint as version from (
+  select path, content from notes where path not in (select path from ok) union all select path, content from ok)""".replace("\n, w as", "w as"), V.NOTES).replace("\nw as", ",\nw as"))
+def publish_edits(spark, sf):
+    """The notes, an attempt that is never committed, and the notes after a batch of writes, read back."""
+    notes, place = V.notes(spark, sf), new_table_path(spark, "published")
+    publish(notes.select("path", "content"), place)
+    writes = notes.selectExpr(
+        "doc_id as seq", "if(doc_id % 4 = 0, 'new/' || name || '.md', path) as path", "content || ' edited' as content",
+        "if(doc_id % 5 = 0, null, if(doc_id % 13 = 0, 'stale', sha2(content, 256))) as content_hash",
+    )
+    before = read_version(spark, place)
+    writes.select("path", "content").write.parquet(f"{place}/data/attempt")
+    version = publish(E.apply_writes(before, E.guard_writes(before, writes)), place)
+    sweep_attempts(spark, place, 0.0)
+    return read_version(spark, place).select("path", F.sha2("content", 256).alias("hash"), F.lit(version).cast("long").alias("version"))
+
+
 FILES = """files as (select doc_id, case when doc_id % 11 = 0 then 'moved/' || path else path end as path,
   case when doc_id % 7 = 0 then content || ' edited' else content end as content, text,
   case when doc_id % 7 = 0 then ' edited' else '' end as mark from notes join documents using (doc_id) where doc_id % 10 <> 1),

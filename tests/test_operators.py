@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkweave import scale
 from inkweave.operators import changes, edits, journal, links, membership, pagerank, peers, projects, reconcile, search
-from inkweave.sources.notes import list_notes, publish, read_notes, read_version
+from inkweave.sources.notes import list_notes, publish, read_notes, read_version, sweep_attempts
 from inkweave.streaming.events import PEER_FIELDS, advance_peer
 
 
@@ -354,6 +354,20 @@ def test_files_round_trip(spark, tmp_path):
         publish(notes, str(tmp_path / "out"), 1)
 
 
+def test_readers_follow_the_committed_version(spark, tmp_path):
+    place = str(tmp_path / "notes")
+    with pytest.raises(FileNotFoundError):
+        read_version(spark, place)
+    frame = lambda text: spark.createDataFrame([("a.md", text)], "path string, content string")
+    assert publish(frame("one"), place) == 1
+    frame("half").write.parquet(f"{place}/data/attempt")  # a writer that died before its commit
+    (tmp_path / "notes" / "versions" / f"{7:012d}").write_text("cut o")  # and one that died in it
+    assert rows(read_version(spark, place)) == [("a.md", "one")]
+    assert publish(frame("two"), place) == 2
+    assert sweep_attempts(spark, place) == 0 and sweep_attempts(spark, place, 0.0) == 1
+    assert rows(read_version(spark, place)) == [("a.md", "two")] and rows(read_version(spark, place, 1)) == [("a.md", "one")]
+
+
 def test_blank_reason_is_refused(spark):
     with pytest.raises(ValueError):
         journal.private_inventory(make_notes(spark, {"private/a.md": ""}), "  ")
