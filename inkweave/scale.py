@@ -15,6 +15,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,34 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Buckets(NamedTuple):
+    """A table in buckets, and its name in the session's catalog."""
+
+    rows: DataFrame
+    name: str
+
+
+def cut_into_buckets(df: DataFrame, column: str, label: str = "buckets") -> Buckets:
+    """Like :func:`cut_lineage`, with the rows in as many buckets by ``column`` as a shuffle has partitions.
+
+    A join by ``column`` reads the buckets as they lie, so only its other side is exchanged.
+    """
+    spark = df.sparkSession
+    name = f"{STEPS}_{label}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out as the buckets are, so that a task writes one file.
+    writer = df.repartition(n, column).write.bucketBy(n, column).sortBy(column)
+    writer.option("path", new_table_path(spark, label)).saveAsTable(name)
+    return Buckets(spark.table(name), name)
+
+
+def drop_buckets(*tables: Buckets) -> None:
+    """Delete tables of :func:`cut_into_buckets`, once nothing reads them any more."""
+    for table in tables:
+        drop_steps(table.rows)
+        table.rows.sparkSession.sql(f"drop table {table.name}")
+
+
 def drop_steps(*tables: DataFrame) -> None:
     """Delete tables that :func:`cut_lineage` has written, once nothing reads them any more."""
     for table in tables:

@@ -42,15 +42,14 @@ def brute_rank(notes, pairs, seed, steps):
     return score
 
 
-@pytest.mark.parametrize("pairs_per_row", [1e9, 0.0])
-def test_ranking_with_and_without_relays(spark, pairs_per_row):
+def test_ranking_over_relays(spark):
     rng = random.Random(5)
     notes = {f"f{i % 3}/N{i // 3}.md": f"N{i // 3}" for i in range(24)}
     pairs = {(p, f"N{rng.randrange(9)}") for p in notes for _ in range(3)}
     note_df = spark.createDataFrame(list(notes.items()), "path string, name string")
     link_df = spark.createDataFrame([(s, notes[s], t) for s, t in pairs], "src string, src_name string, tgt_name string")
     seeds = spark.createDataFrame([(f"N{i}",) for i in range(10)], "seed string")
-    ranking = pagerank.personalized_pagerank(link_df, note_df, seeds, tol=0.0, max_iter=3, max_pairs_per_row=pairs_per_row)
+    ranking = pagerank.personalized_pagerank(link_df, note_df, seeds, tol=0.0, max_iter=3)
     got = {(r["seed"], r["path"]): r["score"] for r in pagerank.path_scores(ranking).collect()}
     assert len(got) == 8 * 24  # N8 and N9 name no note
     for seed in (f"N{i}" for i in range(8)):
@@ -72,6 +71,23 @@ def test_ranking_stops_at_the_right_step(spark):
         assert change(step) < 1e-3 <= change(step - 1)
 
 
+def test_a_step_exchanges_scores_only(spark):
+    """The hops lie in buckets; threshold -1 keeps small tables from being broadcast instead."""
+    notes = spark.createDataFrame([(f"N{i}.md", f"N{i}") for i in range(30)], "path string, name string")
+    link_df = spark.createDataFrame([(f"N{i}.md", f"N{i}", f"N{i * 7 % 30}") for i in range(30)], "src string, src_name string, tgt_name string")
+    numbered = pagerank.number_notes(notes)
+    hops = pagerank.walk_hops(link_df, numbered)
+    state, restarts = pagerank._start(numbered, numbered.select(F.lit(1).cast("long").alias("walk"), "node").limit(1), 0.85)
+    with scale.session_setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        step = pagerank._step(scale.cut_lineage(state), [h.rows for h in hops], restarts, 0.85, "s0", "s1", [])
+        step.collect()
+        plan = step._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("SortMergeJoin") == 2 and "Bucketed: true" in final
+    scale.drop_buckets(*hops)
+    assert not [t for t in spark.catalog.listTables() if t.name in {h.name for h in hops}]
+
+
 def test_unknown_seed_gives_nothing(spark):
     note_df = spark.createDataFrame([("A.md", "A")], "path string, name string")
     link_df = spark.createDataFrame([], "src string, src_name string, tgt_name string")
