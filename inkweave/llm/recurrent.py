@@ -229,7 +229,7 @@ def _part_of(words: Lexicon, ids: np.ndarray) -> tuple[Lexicon, np.ndarray]:
     return Lexicon(words.bucket[used], words.trigrams[at], first), new.reshape(ids.shape)
 
 
-def score_windows(net: Network, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, block: int = 4096) -> np.ndarray:
+def score_windows(net: Network, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, block: int = 1024) -> np.ndarray:
     parts = [net.logits(gates, ids[a : a + block], mask[a : a + block]) for a in range(0, len(ids), block)]
     return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
