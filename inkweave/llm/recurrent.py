@@ -71,6 +71,26 @@ def lexicon(part: Slice) -> tuple[Lexicon, np.ndarray]:
     return Lexicon(bucket, trigrams.astype(np.int64), first), which
 
 
+def _lexicon_of(texts: list[str]) -> tuple[Lexicon, np.ndarray, np.ndarray]:
+    """A lexicon of all texts, the word of each place, and the number of words of each text.
+
+    The texts are read in slices, for hashing takes some tens of bytes for each of theirs; a word of
+    several slices is there several times.
+    """
+    parts, which, counts, n = [], [], [], 0
+    for part in slices(pa.array(texts, pa.string()), 1 << 20):
+        words, own = lexicon(part)
+        parts.append(words)
+        which.append(own + n)
+        counts.append(part.n_words)
+        n += len(words.bucket)
+    sizes = np.concatenate([np.diff(p.first) for p in parts])
+    words = Lexicon(
+        np.concatenate([p.bucket for p in parts]), np.concatenate([p.trigrams for p in parts]), np.concatenate([[0], np.cumsum(sizes)])
+    )
+    return words, np.concatenate(which), np.concatenate(counts)
+
+
 def window_starts(n: int, length: int, stride: int) -> np.ndarray:
     """First words of overlapping windows that cover all of ``n`` words; the last ends with them."""
     if n <= length:
@@ -257,12 +277,12 @@ def train(
     net = Network(seed)
     flat = [w for ws in windows for w in ws]
     doc = np.repeat(np.arange(len(windows)), [len(ws) for ws in windows])
-    part = next(slices(pa.array(flat, pa.string()), 1 << 62))
-    words, which = lexicon(part)
-    n = np.minimum(part.n_words, length)
+    words, which, n_words = _lexicon_of(flat)
+    first_word = np.cumsum(n_words) - n_words
+    n = np.minimum(n_words, length)
     place = np.arange(length)
     mask = place < n[:, None]
-    ids = np.where(mask, which[np.minimum(part.first_word[:-1, None] + place, max(len(which) - 1, 0))], 0)
+    ids = np.where(mask, which[np.minimum(first_word[:, None] + place, max(len(which) - 1, 0))], 0)
     labels = np.asarray(labels, np.float32)
     count = np.bincount(doc, minlength=len(windows))
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
