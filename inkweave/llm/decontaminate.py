@@ -3,8 +3,9 @@
 Words lose their case and outer punctuation; numbers, names (capitalised words inside a
 sentence) and units behind a number become typed placeholders.  Windows of such templates of the
 documents are looked up among those of the benchmark.  Where windows meet, the values behind the
-placeholders must map one to one between item and document, or the alignment does not count.  An
-item leaks into a document if the windows that hold cover enough of its words.
+placeholders must map one to one between item and document, or the alignment does not count.  Windows
+of little but placeholders are compared with their values.  An item leaks into a document if the
+windows that hold cover enough of its words.
 
 Documents are scanned where they lie and nothing of them is shuffled.  The benchmark goes to the
 tasks in blocks of bounded size; a benchmark larger than one block takes several scans.
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Slice, slices, windows
+from .words import Slice, slices, trimmed, windows
 
 WINDOW = 8
+MIN_LITERAL = 4
 MIN_COVERED = 0.5
 BLOCK_WORDS = 500_000
+MAX_HITS = 1 << 20
 # Units that count as such behind a number.
 UNITS = (
     "% ° °c °f a amp amps bar bit bits byte bytes c cal cents cm cm2 cm3 day days db dollar dollars eur euro euros "
@@ -53,7 +56,8 @@ class Templates:
 
     first_word: np.ndarray
     words: np.ndarray  # hash of the template word
-    values: np.ndarray  # hash of the value behind a placeholder, else 0
+    plain: np.ndarray  # hash of the word itself, in lower case
+    slot: np.ndarray  # whether the template word is a placeholder
     source_word: np.ndarray  # number of the word in the slice
 
 
@@ -65,29 +69,20 @@ def _hash_of(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = _hash_of(UNITS)
 
 
-def _trimmed(part: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Word bounds without ASCII punctuation at either end."""
-    starts, ends = part.starts.copy(), part.ends.copy()
-    while (cut := (starts < ends) & _EDGE[part.data[np.minimum(starts, len(part.data) - 1)]]).any():
-        starts += cut
-    while (cut := (starts < ends) & _EDGE[part.data[ends - 1]]).any():
-        ends -= cut
-    return starts, ends
-
-
 def templates(part: Slice) -> Templates:
     """Template words; words of punctuation alone are left out."""
     if len(part.starts) == 0:
-        return Templates(part.first_word, np.zeros(0, np.uint64), np.zeros(0, np.uint64), part.starts)
+        none = np.zeros(0, np.uint64)
+        return Templates(part.first_word, none, none, np.zeros(0, bool), part.starts)
     data = part.data
-    starts, ends = _trimmed(part)
+    starts, ends = trimmed(part, _EDGE)
     keep = np.flatnonzero(starts < ends)
     total = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     between = lambda sums, a, b: sums[b] - sums[a]
     digits, numeric, breaks = total(_DIGIT[data]), total(_NUMERIC[data]), total(data == 10)
     a, b = starts[keep], ends[keep]
     low = part.lowered()
-    low_a, low_b = _trimmed(low)
+    low_a, low_b = trimmed(low, _EDGE)
     values = low.span_hashes(low_a[keep], low_b[keep])
     number = (between(digits, a, b) > 0) & (between(numeric, a, b) == b - a)
     # A sentence begins with a text, after a line break, and after a word that ends in a stop.
@@ -107,26 +102,56 @@ def templates(part: Slice) -> Templates:
     words = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, values)))
     slot = number | unit | name
     first = np.searchsorted(keep, part.first_word)
-    return Templates(first, words, np.where(slot, values | np.uint64(1), np.uint64(0)), keep)
+    return Templates(first, words, values, slot, keep)
+
+
+def _window_hashes(made: Templates, size: int, min_literal: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows and each text's first; a window with few words besides placeholders keeps its values."""
+    hashes, first = windows(made.words, made.first_word, size)
+    count = np.diff(first)
+    at = np.repeat(made.first_word[:-1] - first[:-1], count) + np.arange(first[-1])
+    end = np.minimum(at + size, np.repeat(made.first_word[1:], count))
+    literal = np.concatenate([[0], np.cumsum(~made.slot)])
+    few = literal[end] - literal[at] < min_literal
+    if few.any():
+        hashes = np.where(few, windows(made.plain, made.first_word, size)[0], hashes)
+    return hashes, first
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted keys differs from the one before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each ``first`` on, ``count`` of them, and the range that each is of."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner], owner
 
 
 class Block:
     """Windows of some benchmark items, in the order of their hashes."""
 
-    def __init__(self, ids: list[int], texts: list[str], window: int):
-        self.ids, self.window = ids, window
-        parts, values, lengths = defaultdict(list), [], []
+    def __init__(self, ids: list[int], texts: list[str], window: int, min_literal: int):
+        self.ids, self.window, self.min_literal = ids, window, min_literal
+        parts, plain, slot, lengths = defaultdict(list), [], [], []
         for part in slices(pa.array(texts, pa.string())):
             made = templates(part)
+            plain.append(made.plain)
+            slot.append(made.slot)
             for i in range(part.n_texts):
                 a, b = made.first_word[i], made.first_word[i + 1]
                 item, size = part.first + i, min(window, int(b - a))
-                values.append(made.values[a:b])
                 lengths.append(int(b - a))
                 if size:
-                    hashes, _ = windows(made.words[a:b], np.array([0, b - a]), size)
+                    own = Templates(np.array([0, b - a]), made.words[a:b], made.plain[a:b], made.slot[a:b], made.source_word[a:b])
+                    hashes, _ = _window_hashes(own, size, min_literal)
                     parts[size].append((hashes, np.full(len(hashes), item), np.arange(len(hashes))))
-        self.values, self.lengths = values, lengths
+        self.plain, self.slot = np.concatenate(plain), np.concatenate(slot)
+        self.lengths = np.array(lengths)
+        self.first_word = np.concatenate([[0], np.cumsum(self.lengths)])
         self.by_size = {}
         for size, found in parts.items():
             hashes, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -138,58 +163,87 @@ class Block:
     def leaks(self, part: Slice, min_covered: float) -> Iterator[tuple[int, int, int, int, int]]:
         """Text, item, covered words of the item, first and last word in the text."""
         made = templates(part)
-        hits = defaultdict(lambda: defaultdict(list))
+        lengths = np.diff(made.first_word)
+        found = []
         for size, (hashes, item, place, filled) in self.by_size.items():
-            own, first = windows(made.words, made.first_word, size)
-            lengths = np.diff(made.first_word)
+            own, first = _window_hashes(made, size, self.min_literal)
             maybe = np.flatnonzero(filled[(own >> np.uint64(44)).astype(np.int64)])
+            text = np.searchsorted(first, maybe, "right") - 1
+            whole = lengths[text] >= size
+            maybe, text = maybe[whole], text[whole]
             lo = np.searchsorted(hashes, own[maybe], "left")
-            hi = np.searchsorted(hashes, own[maybe], "right")
-            for w, a, b in zip(maybe[lo < hi], lo[lo < hi], hi[lo < hi], strict=True):
-                text = int(np.searchsorted(first, w, "right")) - 1
-                if lengths[text] < size:
-                    continue
-                at = int(w - first[text])
-                for i in range(a, b):
-                    hits[text, int(item[i])][at - int(place[i])].append((int(place[i]), size))
-        for (text, item), by_shift in sorted(hits.items()):
-            own = made.values[made.first_word[text] : made.first_word[text + 1]]
-            covered, seen = np.zeros(self.lengths[item], bool), []
-            for shift, found in by_shift.items():
-                here = np.zeros(self.lengths[item], bool)
-                for place, size in found:
-                    here[place : place + size] = True
-                if _one_to_one(self.values[item], own, shift, here):
-                    covered |= here
-                    at = np.flatnonzero(here) + shift
-                    seen += [int(at[0]), int(at[-1])]
-            if covered.sum() >= min_covered * len(covered) and seen:
-                words = made.source_word[made.first_word[text] + np.array([min(seen), max(seen)])]
-                bounds = (words - part.first_word[text]).tolist()
-                yield text, item, int(covered.sum()), bounds[0], bounds[1]
-
-
-def _one_to_one(item: np.ndarray, text: np.ndarray, shift: int, here: np.ndarray) -> bool:
-    """Whether the values in the slots of an alignment map one to one."""
-    at = np.flatnonzero(here & (item != 0))
-    there, back = {}, {}
-    for x, y in zip(item[at].tolist(), text[at + shift].tolist(), strict=True):
-        if there.setdefault(x, y) != y or back.setdefault(y, x) != x:
-            return False
-    return True
-
-
-def _blocks(benchmark: DataFrame, window: int) -> Iterator[Block]:
+            count = np.searchsorted(hashes, own[maybe], "right") - lo
+            # Texts go on together as long as their hits are few; those of one text stay together.
+            group = np.cumsum(count) // MAX_HITS
+            group = group[np.searchsorted(text, text)] if len(text) else group
+            for g in np.unique(group[count > 0]):
+                here = (group == g) & (count > 0)
+                at, owner = _ranges(lo[here], count[here])
+                shift = (maybe - first[text])[here][owner] - place[at]
+                found += self._covered(made, text[here][owner], item[at], shift, place[at], size, min_covered)
+        for text, item, covered, a, b in sorted(found):
+            words = made.source_word[made.first_word[text] + np.array([a, b])] - part.first_word[text]
+            yield text, item, covered, int(words[0]), int(words[1])
+
+    def _covered(
+        self, made: Templates, text: np.ndarray, item: np.ndarray, shift: np.ndarray, place: np.ndarray, size: int,
+        min_covered: float,
+    ) -> list[tuple[int, int, int, int, int]]:
+        """Text, item, covered words, first and last template word, from windows that meet."""
+        order = np.lexsort((place, shift, item, text))
+        text, item, shift, place = text[order], item[order], shift[order], place[order]
+        # Words that a window adds to those of the window before it in the same alignment.
+        new = _starts(text, item, shift)
+        begin = place.copy()
+        begin[1:] = np.where(new[1:], place[1:], np.maximum(place[1:], place[:-1] + size))
+        alignment = np.cumsum(new) - 1
+        at, hit = _ranges(begin, place + size - begin)
+        fits = _one_to_one(
+            alignment[hit], self.first_word[item[hit]] + at, made.first_word[text[hit]] + at + shift[hit], self, made
+        )
+        keep = fits[alignment[hit]]
+        at, hit = at[keep], hit[keep]
+        if not len(at):
+            return []
+        text, item, there = text[hit], item[hit], at + shift[hit]
+        order = np.lexsort((at, item, text))
+        text, item, at, there = text[order], item[order], at[order], there[order]
+        heads = np.flatnonzero(_starts(text, item))
+        covered = np.add.reduceat(_starts(text, item, at).astype(np.int64), heads)
+        low, high = np.minimum.reduceat(there, heads), np.maximum.reduceat(there, heads)
+        rows = zip(text[heads], item[heads], covered, low, high, strict=True)
+        return [tuple(map(int, r)) for r in rows if r[2] >= min_covered * self.lengths[r[1]]]
+
+
+def _one_to_one(
+    alignment: np.ndarray, item_word: np.ndarray, text_word: np.ndarray, block: Block, made: Templates
+) -> np.ndarray:
+    """For each alignment, whether the values in its slots map one to one."""
+    n = int(alignment[-1]) + 1
+    slot = block.slot[item_word]
+    alignment, x, y = alignment[slot], block.plain[item_word[slot]], made.plain[text_word[slot]]
+    order = np.lexsort((y, x, alignment))
+    alignment, x, y = alignment[order], x[order], y[order]
+    pair = _starts(alignment, x, y)
+    left = np.bincount(alignment[_starts(alignment, x)], minlength=n)
+    alignment, y = alignment[pair], y[pair]
+    pairs = np.bincount(alignment, minlength=n)
+    order = np.lexsort((y, alignment))
+    right = np.bincount(alignment[order][_starts(alignment[order], y[order])], minlength=n)
+    return (pairs == left) & (pairs == right)
+
+
+def _blocks(benchmark: DataFrame, window: int, min_literal: int) -> Iterator[Block]:
     ids, texts, words = [], [], 0
     for row in benchmark.toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
         words += len(row[1].split())
         if words >= BLOCK_WORDS:
-            yield Block(ids, texts, window)
+            yield Block(ids, texts, window, min_literal)
             ids, texts, words = [], [], 0
     if ids:
-        yield Block(ids, texts, window)
+        yield Block(ids, texts, window, min_literal)
 
 
 def benchmark_leaks(
@@ -200,13 +254,15 @@ def benchmark_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
+    min_literal: int = MIN_LITERAL,
     min_covered: float = MIN_COVERED,
 ) -> DataFrame:
     """Pairs of a document and a benchmark item that leaks into it.
 
     Returns ``id``, ``item``, ``item_words``, ``covered_words`` and the word numbers ``first_word``
     and ``last_word`` of the passage.  An item with fewer than ``window`` words counts as one window
-    of its own length.
+    of its own length.  A window with fewer than ``min_literal`` words besides placeholders meets only the
+    same words, values included: "42" or "in Paris" says nothing about "7" or "in Rome".
 
     Null or empty texts on either side leak nothing; items without id are left out; a document
     without id gives rows with a null id.  Repeated documents give one row each, a repeated item one
@@ -243,7 +299,7 @@ def benchmark_leaks(
         return source.mapInArrow(run, schema)
 
     found = None
-    for block in _blocks(items, window):
+    for block in _blocks(items, window, min_literal):
         found = scan(block) if found is None else found.union(scan(block))
     return source.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -255,6 +311,7 @@ def without_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
+    min_literal: int = MIN_LITERAL,
     min_covered: float = MIN_COVERED,
 ) -> DataFrame:
     """The rows of ``docs`` into which no benchmark item leaks, columns unchanged.
@@ -277,6 +334,6 @@ def without_leaks(
 
         return F.arrow_udf(run, "boolean")
 
-    for block in _blocks(items, window):
+    for block in _blocks(items, window, min_literal):
         docs = docs.filter(clean(block)(F.col(f"`{text_col}`").cast("string")))
     return docs

@@ -55,10 +55,10 @@ def _line_terms(files: DataFrame, vocabulary: list[str]) -> DataFrame:
         lambda w: F.array_position(F.lit(vocabulary), w).cast("int"),
     )
     return (
-        files.select("id", "path", "n_words", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .select("id", "path", "n_words", "line_no", "line", terms.alias("terms"))
+        files.select("id", "path", "version", "n_words", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        .select("id", "path", "version", "n_words", "line_no", "line", terms.alias("terms"))
         .select(
-            "id", "path", "n_words", "line_no",
+            "id", "path", "version", "n_words", "line_no",
             F.regexp_count("line", F.lit(r"\S+")).alias("line_words"),
             numbered.alias("known"), F.size("terms").alias("n_terms"),
         )
@@ -73,7 +73,10 @@ def _parents(path: Column) -> Column:
 def notices(
     files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, min_cosine: float = MIN_COSINE
 ) -> DataFrame:
-    """Lines that are licence notices: ``id``, ``path``, ``n_words``, ``line_no``, ``line_words``, ``license``, ``score``."""
+    """Lines that are licence notices: ``id``, ``path``, ``version``, ``n_words``, ``line_no``, ``line_words``, ``license``, ``score``.
+
+    ``version`` is the digest of the text, ``n_words`` its number of words; both come with ``files``.
+    """
     sets = [(name, _terms(text)) for name, text in templates]
     vocabulary = sorted(set().union(*(s for _, s in sets)))
     lines = cut_lineage(_line_terms(files, vocabulary), "lines")
@@ -103,7 +106,7 @@ def notices(
         .withColumn("norm", norm)
         .withColumn("best", best)
         .filter(F.col("best.score") >= min_cosine)
-        .select("id", "path", "n_words", "line_no", "line_words", "best.license", "best.score")
+        .select("id", "path", "version", "n_words", "line_no", "line_words", "best.license", "best.score")
     )
 
 
@@ -124,8 +127,8 @@ def license_scan(
     Equal scores go to the earlier line, then the licence that is first by name.  Of several licence files in a
     directory the one with the best score counts, then the first by path.  A null or empty text has
     no notice but can inherit; a null path has no directory and inherits nothing; the root is the
-    directory "".  Rows with the same id and path are one file here: they share what any of them says.  An
-    empty table gives an empty result; extra columns are ignored.
+    directory "".  Rows with the same id and path are one file here: they share what any of them says, and
+    equal texts among them count once.  An empty table gives an empty result; extra columns are ignored.
     """
     if not 0 < min_cosine <= 1:
         raise ValueError("need 0 < min_cosine <= 1")
@@ -133,22 +136,27 @@ def license_scan(
         F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    found = cut_lineage(
-        notices(named.withColumn("n_words", F.regexp_count("text", F.lit(r"\S+"))), templates, min_cosine), "notices"
-    )
-    rank = F.struct(-F.col("score"), F.col("line_no"), F.col("license"))
+    counted = named.withColumns({"n_words": F.regexp_count("text", F.lit(r"\S+")), "version": F.xxhash64("text")})
+    found = cut_lineage(notices(counted, templates, min_cosine), "notices")
+    rank = (-F.col("score")).alias("rank"), F.col("line_no"), F.col("license")
     own = cut_lineage(
-        found.groupBy("id", "path").agg(
-            F.min_by("license", rank).alias("notice"), F.max("score").alias("score"),
-            F.min_by("line_no", rank).alias("notice_line"), F.sum("line_words").alias("notice_words"),
-            F.max("n_words").alias("n_words"),
+        found.dropDuplicates(["id", "path", "version", "line_no"])
+        .groupBy("id", "path", "version", "n_words")
+        .agg(F.min(F.struct(*rank, "score")).alias("best"), F.sum("line_words").alias("notice_words"))
+        .groupBy("id", "path")
+        .agg(
+            F.min("best").alias("best"),
+            F.bool_or(F.col("notice_words") >= MIN_SHARE * F.col("n_words")).alias("whole"),
+        )
+        .select(
+            "id", "path", F.col("best.license").alias("notice"), "best.score",
+            F.col("best.line_no").alias("notice_line"), "whole",
         ),
         "own",
     )
     base = F.regexp_extract("path", r"([^/]*)$", 1)
-    whole = F.col("notice_words") >= MIN_SHARE * F.col("n_words")
     givers = (
-        own.filter(F.col("path").isNotNull() & (base.rlike(LICENCE_FILE) | whole))
+        own.filter(F.col("path").isNotNull() & (base.rlike(LICENCE_FILE) | F.col("whole")))
         .groupBy(_parents(F.col("path")).alias("giver"))
         .agg(F.min_by("notice", F.struct(-F.col("score"), F.col("path"), F.col("notice"))).alias("given"))
     )

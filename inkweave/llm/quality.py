@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from inkweave.scale import cut_lineage
 
-from .words import SPACE, Slice, slices, windows
+from .words import SPACE, Slice, slices, trimmed, windows
 
 # Common function words of each language, lower case.
 COMMON_WORDS = {
@@ -60,21 +60,6 @@ def _hashes_of(words: list[str]) -> np.ndarray:
     return part.span_hashes(part.bounds[:-1], part.bounds[1:], fold=True)
 
 
-def _trimmed(part: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Word spans without ASCII punctuation at either end."""
-    starts, ends = part.starts.copy(), part.ends.copy()
-    while True:
-        cut = (starts < ends) & _EDGE[part.data[np.minimum(starts, len(part.data) - 1)]]
-        if not cut.any():
-            break
-        starts += cut
-    while True:
-        cut = (starts < ends) & _EDGE[part.data[ends - 1]]
-        if not cut.any():
-            return starts, ends
-        ends -= cut
-
-
 def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     return total[bounds[1:]] - total[bounds[:-1]]
@@ -145,7 +130,7 @@ def _counted(docs: DataFrame, common: dict[str, str]) -> DataFrame:
                 classes = np.bincount(
                     (text * N_CLASSES + _CLASS[part.data])[character], minlength=n * N_CLASSES
                 )
-                found = part.span_hashes(*_trimmed(part), fold=True)
+                found = part.span_hashes(*trimmed(part, _EDGE), fold=True)
                 at = np.minimum(np.searchsorted(ranked, found), len(ranked) - 1)
                 hit = ranked[at] == found
                 common_counts = np.bincount(

@@ -131,6 +131,14 @@ def slices(texts: pa.Array, slice_bytes: int = SLICE_BYTES, inside: np.ndarray =
         at = to
 
 
+def trimmed(part: Slice, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word bounds without the bytes of ``edge`` at either end; a word of nothing else is empty."""
+    inner = np.append(np.flatnonzero(~edge[part.data]), len(part.data))
+    starts = np.minimum(inner[np.searchsorted(inner, part.starts)], part.ends)
+    last = inner[np.searchsorted(inner, part.ends) - 1]
+    return starts, np.where(starts < part.ends, last + 1, part.ends)
+
+
 def windows(words: np.ndarray, first_word: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all ``q``-word windows and the number of each text's first one.
 

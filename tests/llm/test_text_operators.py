@@ -6,15 +6,18 @@ import collections
 import hashlib
 import json
 import math
+import random
 import re
 
+import pyarrow as pa
 from llm_helpers import prose, words
 
-from inkweave.llm import queries
+from inkweave.llm import decontaminate, queries
 from inkweave.llm.chat import canonical_turns, escape, format_chats, format_turn, read_back, read_turns, registry, unescape
-from inkweave.llm.decontaminate import benchmark_leaks, without_leaks
+from inkweave.llm.decontaminate import benchmark_leaks, templates, without_leaks
 from inkweave.llm.licenses import TEMPLATES, _terms, license_scan
 from inkweave.llm.suffixes import repeated_passages
+from inkweave.llm.words import slices, trimmed
 
 
 def covered(rows, least):
@@ -85,6 +88,83 @@ def test_reparameterised_question(spark):
     assert [(r.id, r.item) for r in benchmark_leaks(docs, items).collect()] == [(1, 5)]
 
 
+def test_items_of_little_but_placeholders(spark):
+    texts = ["He had 7 apples.", "The answer is 42 here", "we live in Rome there", "we met in Paris again", "12 + 13 = 25", "so 12 + 14 = 25 it is"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "42"), (2, "in Paris"), (3, "12 + 13 = 25"), (4, "He had 9 apples.")], "item_id long, text string")
+    got = {(r.id, r.item) for r in benchmark_leaks(docs, items).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3)}
+    assert {(r.id, r.item) for r in benchmark_leaks(docs, items, min_literal=3).collect()} == got | {(0, 4)}
+
+
+def plain_leaks(texts: dict, items: dict, window: int, min_literal: int, share: float) -> dict:
+    """Leaks word by word: item words that some alignment with one-to-one values covers."""
+    def of(text):
+        made = templates(next(slices(pa.array([text]))))
+        return list(zip(made.words.tolist(), made.plain.tolist(), made.slot.tolist(), strict=True))
+
+    def key(words):
+        few = sum(not w[2] for w in words) < min_literal
+        return tuple(w[1] if few else w[0] for w in words)
+
+    out = {}
+    for i, item in items.items():
+        a, size = of(item), min(window, len(of(item)))
+        for d, text in texts.items():
+            b, covered = of(text), set()
+            for shift in range(-len(a), len(b)):
+                here = set()
+                for p in range(len(a) - size + 1):
+                    if 0 <= p + shift <= len(b) - size and key(a[p : p + size]) == key(b[p + shift : p + shift + size]):
+                        here |= set(range(p, p + size))
+                pairs = {(a[p][1], b[p + shift][1]) for p in here if a[p][2]}
+                if len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}):
+                    covered |= here
+            if covered and len(covered) >= share * len(a):
+                out[d, i] = len(covered)
+    return out
+
+
+def test_leaks_against_plain_alignments(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_HITS", 50)
+    rng = random.Random(4)
+    word = lambda: rng.choice(["a", "b", "c", "d", "7", "8", "Anna", "Bob", "km", "--"])
+    text = lambda n: " ".join(word() for _ in range(n))
+    texts = {i: text(rng.randint(1, 60)) for i in range(60)}
+    items = {i: text(rng.randint(1, 12)) for i in range(40)} | {90: "a b a b a b a b", 91: "--"}
+    texts[77] = "a b " * 60
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for least in (0, 2):
+        got = benchmark_leaks(docs, table, window=4, min_literal=least).collect()
+        want = plain_leaks(texts, {i: t for i, t in items.items() if t != "--"}, 4, least, 0.5)
+        assert {(r.id, r.item): r.covered_words for r in got} == want and len(want) > 50
+        assert all(0 <= r.first_word <= r.last_word < len(texts[r.id].split()) for r in got)
+
+
+def test_many_numbers_and_marks():
+    numbers = " ".join(str(i % 977) for i in range(100_000))
+    items = [" ".join(str(i * k) for i in range(1, 13)) for k in range(1, 201)]
+    block = decontaminate.Block(list(range(200)), items, 8, 4)
+    part = next(slices(pa.array([numbers + " " + items[3]])))
+    assert [x[:3] for x in block.leaks(part, 0.9)] == [(0, 0, 12), (0, 3, 12)]
+    part = next(slices(pa.array(["-" * 1_000_000 + " (a) ..b%.. ;; é. " + "!" * 1_000_000, "", "!", "x"])))
+    starts, ends = trimmed(part, decontaminate._EDGE)
+    got = [part.data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
+    assert got == ["", "a", "b%", "", "é", "", "", "x"]
+
+
+def test_licences_of_repeated_rows(spark):
+    text = "Released under the MIT License.\n" + prose(12, 1)
+    rows = [(1, "a/x.py", text)] * 3 + [(2, "a/y.py", "code"), (3, "b/LICENSE", "Released under the MIT License.")] + [(4, "b/z.py", None)] * 2
+    rows += [(5, "c/n.py", text), (5, "c/n.py", "Released under the MIT License."), (6, "c/m.py", "q")]
+    got = {(r.id, r.notice, r.license, r.inherited_from) for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {
+        (1, "MIT", "MIT", None), (2, None, None, None), (3, "MIT", "MIT", None), (4, None, "MIT", "b"),
+        (5, "MIT", "MIT", None), (6, None, "MIT", "c"),
+    }
+
+
 def test_licences(spark, empty):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code"), (3, "a/b/c/LICENSE", "Licensed under CC BY-NC 4.0.\n"),
