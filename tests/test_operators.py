@@ -504,3 +504,30 @@ def test_entries_put_into_files_out_of_day_order(spark, per_slice):
     for log, own in files.items():
         want = plain_insert(own, entries[log])
         assert got[log] == list(enumerate(want, 1)), log
+
+
+def test_pairs_of_projects_and_directories_are_not_shuffled(spark):
+    project_schema = "path string, name string, slug string, remotes array<string>, old_remotes array<string>, old_slugs array<string>"
+    project_df = spark.createDataFrame(
+        [
+            ("projects/a.md", "a", "S", ["x.com/u/r", "x.com/u/q"], ["x.com/u/o"], ["t"]),
+            ("projects/b.md", "b", None, ["x.com/u/q"], ["x.com/u/r"], ["s"]),
+        ],
+        project_schema,
+    )
+    dir_schema = "session int, depth int, dir_name string, git_remotes array<string>"
+    dir_rows = [(1, 0, "s", ["git@x.com:u/Q.git", "x.com/u/r"]), (2, 0, "T", ["x.com/u/o"]), (2, 0, "T", ["x.com/u/o"]), (None, 0, "s", ["x.com/u/q"]), (3, 0, "w", None)]
+    dir_df = spark.createDataFrame(dir_rows, dir_schema)
+    found = projects.match_projects(project_df, dir_df)
+    got = sorted((str(r.session), r.name, r.match_type, r.matched_on, r.matched_value) for r in found.collect())
+    assert got == [
+        ("1", "a", "strict", "remote", "x.com/u/r"), ("1", "b", "strict", "remote", "x.com/u/q"), ("2", "a", "loose", "old_remote", "x.com/u/o"),
+        ("None", "a", "strict", "remote", "x.com/u/q"), ("None", "b", "loose", "old_slug", "s"), ("None", "b", "strict", "remote", "x.com/u/q"),
+    ]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan(found) and "LeftAnti" not in plan(found)
+    named = spark.createDataFrame([("p.md", "ab", "b")], "path string, name string, slug string")
+    asked = spark.createDataFrame([(1, 0, "xabx"), (1, 0, "b")], "session int, depth int, dir_name string")
+    similar = projects.suggest_projects(named, asked, spark.createDataFrame([], "session int"))
+    assert [tuple(r) for r in similar.collect()] == [(1, "p.md", "ab")]
+    assert not plan(similar).startswith(("Aggregate", "Distinct"))
