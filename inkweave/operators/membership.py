@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import ROWS_PER_SLICE, cut_lineage, running_sum, with_slices
 
-# Updates of a key that one value holds, and slices of a key that are gone through in one value.
-UPDATES_PER_SLICE = 200
+# Updates of a key that one task folds at once, and slices of a key that are gone through in one value.
+UPDATES_PER_SLICE = 100_000
 PARTS_PER_GROUP = 20_000
 
 KEYS = ["observer", "peer_id"]
@@ -77,6 +79,11 @@ ENTRY = "struct<state:int,k:bigint,address:string,via:string>"
 PIECE = "struct<cls:int,lo:bigint,hi:bigint,state:int,k:bigint,put:boolean,address:string,via:string,changed:boolean>"
 UNKNOWN = f"cast(struct(0, 0L, null, null) as {ENTRY})"
 KNOWN = "array(2, 3, 4, 5, 6, 7, 8, 9)"
+SLICE = [*KEYS, "_slice"]
+UPDATE = ["seq", "type", "incarnation", "address", "via"]
+# Stands for the address an entry has, whatever it is.
+OWN = "\0own"
+PIECE_FIELDS = [tuple(f.split(":")) for f in PIECE.removeprefix("struct<").removesuffix(">").split(",")]
 STRUCT_NAMES = ["cls", "lo", "hi", "state", "k", "put", "address", "via", "changed"]
 
 
@@ -154,15 +161,94 @@ def _merged(pieces: str) -> str:
 NO_UPDATE = f"concat(array({_same('0')}), transform({KNOWN}, c -> {_same('c')}))"
 
 
+def _updates(rows: pa.Table) -> Iterator[tuple]:
+    """(seq, type, incarnation, address, via) of a slice in order, nulls first."""
+    order = [(c, "ascending") for c in UPDATE]
+    ordered = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
+    return zip(*(ordered.column(c).to_pylist() for c in UPDATE), strict=True)
+
+
+def stretch(updates: Iterable[tuple]) -> list[tuple]:
+    """The pieces of :data:`PIECE` that say what ``updates``, in order, do to any entry.
+
+    Outcomes are kept once each, with the ranges of (class, incarnation) that lead there; entries that meet in
+    one outcome stay together, so there are few of them however long the stretch is.
+    """
+    # (state, k, put, address, via, changed) -> ranges; k is None while entries have their own.
+    outcomes: dict[tuple, list[tuple[int, int, int]]] = {}
+    for cls in (0, 2, 3, 4, 5, 6, 7, 8, 9):
+        # The class is part of the outcome as long as the entry's own address is.
+        outcomes[cls // 2, None, cls % 2, False, None, None, False] = [(cls, LOW, HIGH)]
+    for _, kind, inc, address, via in updates:
+        after: dict[tuple, list[tuple[int, int, int]]] = {}
+        for outcome, ranges in outcomes.items():
+            state, k, _, *_ = outcome
+            if state == 0 or k is not None:
+                after.setdefault(_outcome_after(outcome, k, kind, inc, address, via), []).extend(ranges)
+                continue
+            # Entries with an incarnation of their own part at the update's.
+            for low, high, at in ((LOW, inc - 1, inc - 1), (inc - 1, inc, inc), (inc, HIGH, inc + 1)):
+                own = [(c, max(lo, low), min(hi, high)) for c, lo, hi in ranges if max(lo, low) < min(hi, high)]
+                if own:
+                    after.setdefault(_outcome_after(outcome, at, kind, inc, address, via), []).extend(own)
+        outcomes = {outcome: _joined(ranges) if len(ranges) > 8 else ranges for outcome, ranges in after.items()}
+    return [
+        (cls, lo, hi, state, k, put, address, via, changed)
+        for (state, k, _, put, address, via, changed), ranges in outcomes.items()
+        for cls, lo, hi in _joined(ranges)
+    ]
+
+
+def _outcome_after(outcome: tuple, at: int | None, kind, inc, address, via) -> tuple:
+    """An outcome of :func:`stretch` after one more update; ``at`` stands for the incarnation of the entry."""
+    state, k, own, put, known_address, known_via, _ = outcome
+    # An address of the entry itself is only known to be there or not.
+    there = known_address if put else OWN if own else None
+    member = (STATES[state - 1], at, there, known_via) if state else NOTHING
+    (new_state, new_k, new_address, new_via), did = advance(member, kind, inc, address, via)
+    if not did:
+        return outcome
+    number = STATES.index(new_state) + 1
+    # A removal leaves the incarnation alone, and so the entry's own.
+    new_k = k if kind == "removed" else new_k
+    if new_address is OWN:
+        return (number, new_k, own, False, None, new_via, True)
+    # What happens at the entry's own lack of an address is the same for all such entries.
+    put = put or state == 0 or kind == "alive"
+    return (number, new_k, 0 if put else own, put, new_address if put else None, new_via, True)
+
+
+def _joined(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Ranges of one class that touch, as one."""
+    out: list[tuple[int, int, int]] = []
+    for cls, lo, hi in sorted(ranges):
+        if out and out[-1][0] == cls and out[-1][2] == lo:
+            out[-1] = (cls, out[-1][1], hi)
+        else:
+            out.append((cls, lo, hi))
+    return out
+
+
+def _types(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
+
+
 def _sliced(gossip: DataFrame, rows_per_slice: int) -> DataFrame:
-    """Key, ``_slice`` and ``updates``: at most ``rows_per_slice`` updates of a key in ``seq`` order."""
-    update = F.struct("seq", "type", "incarnation", "address", "via")
-    return cut_lineage(
-        with_slices(_foreign(gossip), KEYS, "seq", rows_per_slice)
-        .groupBy(*KEYS, "_slice")
-        .agg(F.array_sort(F.collect_list(update)).alias("updates")),
-        "slices",
+    """Updates with ``_slice``: at most ``rows_per_slice`` of a key in ``seq`` order."""
+    return cut_lineage(with_slices(_foreign(gossip), KEYS, "seq", rows_per_slice), "slices")
+
+
+def _summaries(sliced: DataFrame) -> DataFrame:
+    """(key, _slice, pieces) of each slice."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        pieces = [dict(zip(STRUCT_NAMES, p, strict=True)) for p in stretch(_updates(rows))]
+        return rows.select(SLICE).slice(0, 1).append_column("pieces", pa.array([pieces], pa.list_(piece)))
+
+    piece = pa.struct(
+        [(n, {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[t]) for n, t in PIECE_FIELDS]
     )
+    return sliced.groupBy(*SLICE).applyInArrow(run, f"{_types(sliced, SLICE)}, pieces array<{PIECE}>")
 
 
 def _starts(parts: DataFrame, parts_per_group: int) -> DataFrame:
@@ -203,17 +289,37 @@ def _starts(parts: DataFrame, parts_per_group: int) -> DataFrame:
 
 
 def _with_starts(gossip: DataFrame, rows_per_slice: int, parts_per_group: int) -> DataFrame:
-    """Slices of updates with the entry that holds before each; a key in one slice starts with nothing."""
+    """Updates with their slice and the entry that holds before it; a key in one slice starts with nothing."""
     sliced = _sliced(gossip, rows_per_slice)
-    several = sliced.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    whole = f"aggregate(updates, {NO_UPDATE}, (f, u) -> {_composed('f', _update('u'))})"
-    parts = sliced.join(several.select(*KEYS), KEYS, "left_semi").select(*KEYS, "_slice", F.expr(_merged(whole)).alias("pieces"))
+    slices = sliced.select(*KEYS, "_slice").distinct()
+    several = slices.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    parts = _summaries(sliced.join(several.select(*KEYS), KEYS, "left_semi"))
     starts = _starts(cut_lineage(parts, "pieces"), parts_per_group)
     return sliced.join(starts, [*KEYS, "_slice"], "left").withColumn("start", F.coalesce("start", F.expr(UNKNOWN)))
 
 
-def _state_name(number: str) -> Column:
-    return F.when(F.col(number) > 0, F.element_at(F.array(*map(F.lit, STATES)), F.greatest(F.col(number), F.lit(1))))
+def _folded(updates: DataFrame, last_only: bool) -> DataFrame:
+    """(key, _slice, seq, type, state, k, address, via): the entry after each update that changed it, or after the last one."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        start = rows.column("start")[0].as_py()
+        member = (STATES[start["state"] - 1], start["k"], start["address"], start["via"]) if start["state"] else NOTHING
+        out, seq, kind = [], None, None
+        for seq, kind, inc, address, via in _updates(rows):
+            member, changed = advance(member, kind, inc, address, via)
+            if changed and not last_only:
+                out.append((seq, kind, *member))
+        if last_only:
+            out.append((seq, kind, *member))
+        own = rows.select(SLICE).take(pa.array([0] * len(out), pa.int64()))
+        for i, (name, of) in enumerate(zip(names, types, strict=True)):
+            own = own.append_column(name, pa.array([o[i] for o in out], of or rows.schema.field(name).type))
+        return own
+
+    names = ["seq", "type", "state", "k", "address", "via"]
+    types = [None, None, pa.string(), pa.int64(), None, None]
+    schema = f"{_types(updates, [*SLICE, 'seq', 'type'])}, state string, k long, {_types(updates, ['address', 'via'])}"
+    return updates.groupBy(*SLICE).applyInArrow(run, schema)
 
 
 def _foreign(gossip: DataFrame) -> DataFrame:
@@ -236,21 +342,9 @@ def gossip_changes(
     ``gossip`` has observer, seq, type, peer_id, address, incarnation and from.  These are the
     updates worth passing on.
     """
-    names = ["seq", "type", "state", "k", "address"]
-    row = _named(names, ["u.seq", "u.type", "r.state", "r.k", "r.address"])
-    now = f"cast(struct(r.state, r.k, r.address, r.via) as {ENTRY})"
-    out = f"if(r.changed, concat(a.out, array({row})), a.out)"
-    step = f"(a, u) -> transform(array({_after(_update('u'), 'a.now')}), r -> named_struct('now', {now}, 'out', {out}))[0]"
-    none = "cast(array() as array<struct<seq:bigint,type:string,state:int,k:bigint,address:string>>)"
-    changes = F.expr(f"aggregate(updates, named_struct('now', start, 'out', {none}), {step}).out")
-    return (
-        _with_starts(gossip, rows_per_slice, parts_per_group)
-        .select(*KEYS, F.explode(changes).alias("c"))
-        .select(*KEYS, "c.*")
-        .select(
-            *KEYS, "seq", "type", (F.col("type") == "alive").alias("is_new"), _state_name("state").alias("state"),
-            F.col("k").alias("incarnation"), "address",
-        )
+    changes = _folded(_with_starts(gossip, rows_per_slice, parts_per_group), last_only=False)
+    return changes.select(
+        *KEYS, "seq", "type", (F.col("type") == "alive").alias("is_new"), "state", F.col("k").alias("incarnation"), "address"
     )
 
 
@@ -258,11 +352,9 @@ def membership(
     gossip: DataFrame, rows_per_slice: int = UPDATES_PER_SLICE, parts_per_group: int = PARTS_PER_GROUP
 ) -> DataFrame:
     """(observer, peer_id, state, incarnation, address, via) after all updates in ``seq`` order."""
-    entry = f"transform(array({_after(_update('u'), 'a')}), r -> cast(struct(r.state, r.k, r.address, r.via) as {ENTRY}))[0]"
-    end = F.expr(f"aggregate(updates, start, (a, u) -> {entry})")
-    ends = _with_starts(gossip, rows_per_slice, parts_per_group).select(*KEYS, "_slice", end.alias("m"))
-    last = ends.groupBy(*KEYS).agg(F.max_by("m", "_slice").alias("m")).filter("m.state > 0").select(*KEYS, "m.*")
-    return last.select(*KEYS, _state_name("state").alias("state"), F.col("k").alias("incarnation"), "address", "via")
+    ends = _folded(_with_starts(gossip, rows_per_slice, parts_per_group), last_only=True)
+    last = ends.groupBy(*KEYS).agg(F.max_by(F.struct("state", "k", "address", "via"), "_slice").alias("m"))
+    return last.filter("m.state is not null").select(*KEYS, "m.state", F.col("m.k").alias("incarnation"), "m.address", "m.via")
 
 
 def self_incarnations(gossip: DataFrame, initial: int = 0, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:

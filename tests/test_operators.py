@@ -207,6 +207,27 @@ def test_updates_compose_like_the_fold(spark):
         assert got == member
 
 
+def test_long_stretches_stay_short_and_do_what_the_updates_do():
+    rng = random.Random(13)
+    kinds = ["alive", "alive", "suspect", "dead", "removed", "other"]
+    for n in (1, 3, 8, 5_000):
+        for _ in range(30 if n < 100 else 1):
+            log = [(i, rng.choice(kinds), rng.randrange(9), rng.choice([None, "x", "y"]), rng.choice([None, "v"])) for i in range(n)]
+            pieces = membership.stretch(log)
+            assert len(pieces) < 200
+            starts = [(s, k, a, "w") for s in range(1, 5) for k in range(-1, 10) for a in (None, "z")] + [(0, 0, None, None)]
+            for state, k, address, via in starts:
+                cls = state and 2 * state + (address is not None)
+                (found,) = [p for p in pieces if p[0] == cls and p[1] < k <= p[2]]
+                _, _, _, s, new_k, put, new_address, new_via, _ = found
+                got = (s, k if new_k is None else new_k, new_address if put else address, new_via or via)
+                member = (membership.STATES[state - 1], k, address, via) if state else membership.NOTHING
+                for _, *u in log:
+                    member, _ = membership.advance(member, *u)
+                assert got[0] == (membership.STATES.index(member[0]) + 1 if member[0] else 0)
+                assert not got[0] or got[1:] == member[1:]
+
+
 @pytest.mark.parametrize("per_slice", [4, 10**6])
 def test_peer_registry_with_handshakes(spark, per_slice):
     rng = random.Random(8)
