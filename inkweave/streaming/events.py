@@ -179,66 +179,44 @@ def probe_stream(pings: DataFrame, acks: DataFrame, timeout: float = PING_TIMEOU
     return joined.select("seq", "target", outcome.alias("outcome"))
 
 
-PROBE_STATE = "target string, sent double, asked long, ack_at double, alive_at double, n_no long, no_at double"
-
-
 def probe_states_stream(messages: DataFrame, timeout: float = PING_TIMEOUT, watermark: str = "10 seconds") -> DataFrame:
     """(seq, target, outcome, decided_at) of probes, as their time ends.
 
     ``messages`` has seq (of the probe), ts, kind (ping, ack, reply), target and asked (of a ping) and alive (of
-    a reply).  The state of a probe is one row, what has been heard so far; a timer at the end of the probing
-    decides as :func:`classify_probes` does on what was heard up to then, and drops it.  Messages
-    without a ping are dropped by a timer as well.
+    a reply).  A ping waits in an outer join of two streams for what answers it; once the watermark has passed the end
+    of the probing, an aggregate decides as :func:`classify_probes` does on what was heard up to then.  Messages
+    without a ping are dropped by the join.  A ping comes before what answers it, or at most the whole probing later.
     """
     whole = PROBE_ROUNDS * timeout
-
-    def first(old, new):
-        return new if old is None else old if new is None else min(old, new)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["seq", "target", "outcome", "decided_at"]
-        if state.hasTimedOut:
-            target, sent, asked, ack_at, alive_at, n_no, no_at = state.get
-            state.remove()
-            if sent is not None:
-                ends = sent + whole
-                all_no = no_at if asked > 0 and n_no >= asked else None
-                at = min(x for x in (ack_at, alive_at, all_no, ends) if x is not None)
-                outcome = (
-                    ("ok" if ack_at < sent + timeout else "late") if ack_at == at < ends
-                    else "alive" if alive_at == at < ends else "suspected"
-                )
-                yield pd.DataFrame([(key[0], target, outcome, at)], columns=columns)
-            return
-        rows = pd.concat(list(parts))
-        at = rows["ts"].astype("int64") / (1e9 if rows["ts"].dtype == "datetime64[ns]" else 1e6)
-        target, sent, asked, ack_at, alive_at, n_no, no_at = state.get if state.exists else (None, None, 0, None, None, 0, None)
-        least = lambda mask: float(at[mask].min()) if mask.any() else None
-        ping = rows["kind"] == "ping"
-        if ping.any():
-            target, asked, sent = rows.loc[ping, "target"].iloc[0], int(rows.loc[ping, "asked"].iloc[0]), least(ping)
-        reply = rows["kind"] == "reply"
-        yes = reply & (rows["alive"] == True)  # noqa: E712
-        no = reply & ~yes
-        ends = None if sent is None else sent + whole
-        inside = at < ends if ends is not None else at >= 0  # a ping comes before what answers it
-        ack_at = first(ack_at, least((rows["kind"] == "ack") & inside))
-        alive_at = first(alive_at, least(yes & inside))
-        if (no & inside).any():
-            n_no, no_at = n_no + int((no & inside).sum()), max(no_at or 0.0, float(at[no & inside].max()))
-        state.update((target, sent, asked, ack_at, alive_at, n_no, no_at))
-        last = ends if ends is not None else float(at.max()) + whole
-        state.setTimeoutTimestamp(max(int(last * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([], columns=columns)
-
-    return (
-        messages.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", watermark)
-        .groupBy("seq")
-        .applyInPandasWithState(
-            step, "seq long, target string, outcome string, decided_at double", PROBE_STATE, "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    length = F.expr(f"interval {int(whole * 1000)} milliseconds")
+    # Messages of any kind move the time of both sides: a test on the time stays behind the watermark.
+    rows = messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    of = lambda *kinds: rows.filter(F.when(F.col("ts").isNotNull(), F.col("kind")).isin(*kinds))
+    pings = of("ping").select("seq", "target", "asked", F.col("ts").alias("sent")).dropDuplicatesWithinWatermark(["seq"])
+    heard = of("ack", "reply").select(F.col("seq").alias("h_seq"), F.col("ts").alias("at"), "kind", "alive")
+    inside = (F.col("at") >= F.col("sent") - length) & (F.col("at") < F.col("sent") + length)
+    micros = lambda c: F.unix_micros(c) / F.lit(1e6)
+    joined = pings.join(heard, (F.col("seq") == F.col("h_seq")) & inside, "left_outer").select(
+        "seq", "target", "asked", "sent", "kind", F.coalesce("alive", F.lit(False)).alias("alive"), micros("at").alias("at")
+    )
+    reply = F.col("kind") == "reply"
+    state = joined.groupBy("seq", "target", "asked", "sent").agg(
+        F.min(F.when(F.col("kind") == "ack", F.col("at"))).alias("ack_at"),
+        F.min(F.when(reply & F.col("alive"), F.col("at"))).alias("alive_at"),
+        F.count_if(reply & ~F.col("alive")).alias("n_no"),
+        F.max(F.when(reply & ~F.col("alive"), F.col("at"))).alias("no_at"),
+    )
+    start = micros("sent")
+    all_no = F.when((F.col("asked") > 0) & (F.col("n_no") >= F.col("asked")), F.col("no_at"))
+    decided = F.least("ack_at", "alive_at", all_no, start + whole)
+    return state.select(
+        "seq",
+        "target",
+        F.when(F.col("ack_at") == decided, F.when(F.col("ack_at") < start + timeout, "ok").otherwise("late"))
+        .when(F.col("alive_at") == decided, "alive")
+        .otherwise("suspected")
+        .alias("outcome"),
+        decided.alias("decided_at"),
     )
 
 

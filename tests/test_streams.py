@@ -106,6 +106,12 @@ def test_probe_states_over_several_batches(spark):
     assert {r.outcome for r in got.collect()} == {"ok", "late", "alive", "suspected"}
 
 
+def test_probe_states_run_no_python_per_probe(spark, tmp_path):
+    messages = probe_messages(spark, random.Random(3)).select("seq", "ts", "kind", "target", "asked", "alive")
+    states = S.probe_states_stream(as_stream(spark, messages, str(tmp_path / "messages")))
+    assert "Pandas" not in states._jdf.queryExecution().logical().toString()
+
+
 def test_suspicions_over_several_batches(spark):
     rng = random.Random(12)
     data = [(rng.choice("abc"), i, 100.0 + i * rng.choice([1.0, 1.0, 1.0]) + (9 if i > 40 else 0), rng.choice(["renewed", "cleared"])) for i in range(90)]
