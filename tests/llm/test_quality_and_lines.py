@@ -149,3 +149,10 @@ def test_cut_lines_and_paragraphs(spark, empty):
     units = repeated_units(spark.createDataFrame(two, "doc_id long, text string"), paragraphs=True, min_words=1)
     assert [(r.id, r.start, r.length, r.kept_id) for r in units.collect()] == [(2, 3, 8, 1)]
     assert repeated_units(empty).count() == 0
+
+
+def test_query_reports_short_repeated_lines(spark, tmp_path):
+    rows = [(1, "same words\nown"), (2, "other\nsame words"), (3, "alone")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op4_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.first_unit, r.words, r.removed_words, r.cleaned_length) for r in got) == [(1, 0, 2, 0, None), (2, 1, 2, 2, 6)]
