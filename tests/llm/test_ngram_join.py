@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from llm_helpers import prose, words
 
-from inkweave.llm import ngram_join
+from inkweave.llm import graph, ngram_join
 from inkweave.llm.ngram_join import Bands, ngram_jaccard_classes, one_of_each_class, part_keys
 
 
@@ -132,3 +132,15 @@ def test_one_of_each(messy, messy_rows):
     assert len([r for r in got if not words(r[1])]) == len(blank)
     again = ngram_jaccard_classes(kept)
     assert again.filter("n_shingles > 0 and id <> component").count() == 0
+
+
+def test_components_of_links_that_are_stars_take_one_step(spark, monkeypatch):
+    """Nothing is gone through again where every node already hangs on the smallest of its component."""
+    steps = []
+    write = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, label: steps.append(label) or write(df, label))
+    stars = spark.createDataFrame([(i % 5, i) for i in range(5, 40)] + [(39, 4), (3, 3), (None, 7)], "a long, b long")
+    assert sorted(map(tuple, graph.components(stars).collect())) == [(i, i % 5) for i in range(40)]
+    assert len(steps) == 1
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    assert sorted(map(tuple, graph.components(chain).collect())) == [(i, 0) for i in range(31)]
