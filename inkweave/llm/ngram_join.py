@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweave.scale import cut_lineage
+from inkweave.scale import cut_lineage, drop_steps
 
 from .graph import components
 from .names import free_names
@@ -223,7 +223,9 @@ def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> D
     texts = docs.join(send(need), same).select("_text", "rep", "rep_key", "again")
     single = texts.filter("not again").select("_text")
     several = texts.filter("again").dropDuplicates(["rep", "rep_key"]).select("_text")
-    return cut_lineage(_sets(single.union(several), "_text", n), "sets")
+    sets = cut_lineage(_sets(single.union(several), "_text", n), "sets")
+    drop_steps(need)
+    return sets
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -436,7 +438,7 @@ def ngram_jaccard_classes(
     docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     id_col, text_col = "_id", "_text"
     members = cut_lineage(_members(docs, id_col, text_col, n, num, den), "members")
-    classes = cut_lineage(
+    found = cut_lineage(
         members.filter("n > 0")
         .groupBy("cls")
         .agg(
@@ -453,15 +455,24 @@ def ngram_jaccard_classes(
     repeated = members.groupBy("id", "text_key").agg(F.count("*").alias("times")).filter("times > 1")
     twice = F.col("rep").eqNullSafe(F.col("id")) & (F.col("rep_key") == F.col("text_key"))
     classes = cut_lineage(
-        classes.join(repeated, twice, "left").drop("id", "text_key").withColumn("again", F.col("times").isNotNull()),
+        found.join(repeated, twice, "left").drop("id", "text_key").withColumn("again", F.col("times").isNotNull()),
         "classes",
     )
+    drop_steps(found)
     shared = cut_lineage(_shared(_keys(docs, text_col, n, num, den)), "shared")
     rows = cut_lineage(_without_crowded(shared, classes, Bands(num, den)), "keys")
+    drop_steps(shared)
     near = cut_lineage(_may_link(_stars(rows), classes, num, den), "near")
-    edges = cut_lineage(_verify(near, _sets_of(near, classes, docs, n), num, den), "links")
-    left = cut_lineage(_left_over(rows, components(edges), classes, num, den), "left")
-    groups = components(edges.union(_verify(left, _sets_of(left, classes, docs, n), num, den)))
+    sets = _sets_of(near, classes, docs, n)
+    edges = cut_lineage(_verify(near, sets, num, den), "links")
+    drop_steps(near, sets)
+    linked = components(edges)
+    left = cut_lineage(_left_over(rows, linked, classes, num, den), "left")
+    drop_steps(rows, linked)
+    sets = _sets_of(left, classes, docs, n)
+    groups = components(edges.union(_verify(left, sets, num, den)))
+    # What is returned still reads members, classes and groups.
+    drop_steps(edges, left, sets)
     placed = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "rep", F.coalesce("component", "cls").alias("root")
     )

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweave.scale import cut_lineage, new_table_path
+from inkweave.scale import cut_lineage, drop_steps, new_table_path
 
 from .tokens import DEFAULT_VOCABULARY, Tokenizer, end_token
 from .words import mix, slices
@@ -261,7 +261,9 @@ def write_training_order(
         .drop("shard")
         .mapInArrow(run, schema)
     )
-    return cut_lineage(listed, "sequences")
+    sequences = cut_lineage(listed, "sequences")
+    drop_steps(encoded, starts)
+    return sequences
 
 
 def read_slots(folder: str, first: int = 0, count: int | None = None) -> Iterator[np.ndarray]:

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from llm_helpers import prose, words
+from llm_helpers import prose, steps_since, words
 
 import corpus_pipeline
 from inkweave.llm import queries
@@ -126,6 +126,13 @@ def test_training_order_round_trip(request, which):
     assert np.array_equal(next(read_slots(folder, 3, 1)), stored[3])
 
 
+def test_training_order_keeps_no_second_copy_of_the_ids(spark, messy):
+    folder = tempfile.mkdtemp()
+    with steps_since(spark) as steps:
+        rows = write_training_order(messy, folder, length=64)
+    assert steps == ["sequences"] and rows.count() == len(list(read_slots(folder)))
+
+
 def test_training_order_of_nothing(empty):
     folder = tempfile.mkdtemp()
     assert write_training_order(empty, folder).count() == 0 and list(read_slots(folder)) == []

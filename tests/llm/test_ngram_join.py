@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from llm_helpers import prose, words
+from llm_helpers import prose, steps_since, words
 
 from inkweave.llm import graph, ngram_join
 from inkweave.llm.ngram_join import Bands, ngram_jaccard_classes, one_of_each_class, part_keys
@@ -144,3 +144,11 @@ def test_components_of_links_that_are_stars_take_one_step(spark, monkeypatch):
     assert len(steps) == 1
     chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
     assert sorted(map(tuple, graph.components(chain).collect())) == [(i, 0) for i in range(31)]
+
+
+def test_only_steps_that_are_still_read_stay(spark, messy, messy_rows):
+    with steps_since(spark) as steps:
+        found = ngram_jaccard_classes(messy)
+    assert sorted(steps) == ["classes", "members", "stars"]
+    got = sorted(((r.id, r.n_shingles, r.component) for r in found.collect()), key=str)
+    assert got == sorted(brute([r[:2] for r in messy_rows], 5, 80, 100), key=str)
