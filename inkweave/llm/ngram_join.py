@@ -389,11 +389,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         hub, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             a, b = [], []
-            columns = [batch.column(i) for i in (0, 2, 3)]
-            for left, right, grams in zip(*(c.to_pylist() for c in columns), strict=True):
-                values = np.frombuffer(grams, np.uint64)
+            names = (batch.column(i).to_pylist() for i in (0, 2))
+            for left, right, grams in zip(*names, batch.column(3), strict=True):
+                # Sets are read where they lie in the batch; that of a hub stays for longer.
+                values = np.frombuffer(grams.as_buffer(), np.uint64)
                 if right is None:
-                    hub, own = left, values
+                    hub, own = left, values.copy()
                 elif left == hub and len(own):
                     at = np.minimum(np.searchsorted(own, values), len(own) - 1)
                     common = int((own[at] == values).sum())

@@ -19,6 +19,8 @@ WIDTH = 8
 HIDDEN = 8
 WORD_BUCKETS = 1 << 13
 TRIGRAM_BUCKETS = 1 << 13
+TRIGRAM_BLOCK = 1 << 16
+WORD_BLOCK = 1 << 13
 GATES = 3 * HIDDEN
 DECAY = 0.5
 DROPPED_WORDS = 0.6
@@ -59,16 +61,19 @@ def lexicon(part: Slice) -> tuple[Lexicon, np.ndarray]:
     size = ends - starts
     first = np.concatenate([[0], np.cumsum(size)])
     owner = np.repeat(np.arange(len(size)), size)
-    at = np.arange(first[-1]) - first[owner] + starts[owner]
-    here = low.data[at].astype(np.uint64)
-    before, after = np.ones(len(at), np.uint64), np.ones(len(at), np.uint64)
+    at = np.arange(first[-1]) + (starts - first[:-1])[owner]
+    here = low.data[at]
+    before, after = np.ones(len(at), np.uint8), np.ones(len(at), np.uint8)
     before[1:] = here[:-1]
     after[:-1] = here[1:]
     before[first[:-1]] = 1
     after[first[1:] - 1] = 1
-    trigrams = mix((before << np.uint64(16)) | (here << np.uint64(8)) | after) % np.uint64(TRIGRAM_BUCKETS)
+    trigrams = np.empty(len(at), np.uint64)
+    for a in range(0, len(at), TRIGRAM_BLOCK):
+        x, y, z = (c[a : a + TRIGRAM_BLOCK].astype(np.uint64) for c in (before, here, after))
+        trigrams[a : a + TRIGRAM_BLOCK] = mix((x << np.uint64(16)) | (y << np.uint64(8)) | z) % np.uint64(TRIGRAM_BUCKETS)
     bucket = (hashes % np.uint64(WORD_BUCKETS)).astype(np.int64)
-    return Lexicon(bucket, trigrams.astype(np.int64), first), which
+    return Lexicon(bucket, trigrams.view(np.int64), first), which
 
 
 def _lexicon_of(texts: list[str]) -> tuple[Lexicon, np.ndarray, np.ndarray]:
@@ -128,8 +133,12 @@ class Network:
         size = np.maximum(np.diff(words.first), 1).astype(np.float32)
         total = np.zeros((len(words.bucket), WIDTH), np.float32)
         full = np.flatnonzero(np.diff(words.first))
-        if len(full):
-            total[full] = np.add.reduceat(self.p["trigrams"][words.trigrams], words.first[full], axis=0)
+        # The vectors of all trigrams take many times the text, so they are looked up for some words at a time.
+        for a in range(0, len(full), WORD_BLOCK):
+            own = full[a : a + WORD_BLOCK]
+            begin = words.first[own[0]]
+            trigrams = words.trigrams[begin : words.first[own[-1] + 1]]
+            total[own] = np.add.reduceat(self.p["trigrams"][trigrams], words.first[own] - begin, axis=0)
         return np.concatenate([self.p["words"][words.bucket], total / size[:, None]], axis=1)
 
     def _layer(self, x: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: list | None) -> list[np.ndarray]:

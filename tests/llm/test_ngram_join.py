@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import prose, steps_since, words
 
 from inkweave.llm import graph, ngram_join
-from inkweave.llm.ngram_join import Bands, ngram_jaccard_classes, one_of_each_class, part_keys
+from inkweave.llm.ngram_join import Bands, ngram_jaccard_classes, one_of_each_class, part_keys, shingle_sets
+from inkweave.llm.recurrent import Network, lexicon
+from inkweave.llm.words import slices
 
 
 def grams(text, n):
@@ -152,3 +156,29 @@ def test_only_steps_that_are_still_read_stay(spark, messy, messy_rows):
     assert sorted(steps) == ["classes", "members", "stars"]
     got = sorted(((r.id, r.n_shingles, r.component) for r in found.collect()), key=str)
     assert got == sorted(brute([r[:2] for r in messy_rows], 5, 80, 100), key=str)
+
+
+def test_arrays_of_a_task_stay_small():
+    """Workers stay alive and keep memory, so what a task takes besides its batch is bounded."""
+    texts = pa.array([" ".join(f"w{i * 7919 % 10007}x{j}" for i in range(1000)) for j in range(400)])
+    bands = Bands(80, 100)
+    tracemalloc.start()
+    try:
+        for part in slices(texts):
+            part_keys(*shingle_sets(part, 5), bands, 0)
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+        found, _ = lexicon(next(slices(texts, 2 << 20)))
+        net, before = Network(1), tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        vectors = net.vectors(found)
+        assert tracemalloc.get_traced_memory()[1] - before < 50e6
+    finally:
+        tracemalloc.stop()
+    some = np.add.reduceat(net.p["trigrams"][found.trigrams], found.first[:-1], axis=0)
+    assert (vectors[:, -some.shape[1] :] == some / np.diff(found.first).astype(np.float32)[:, None]).all()
+
+
+def test_hashes_of_spans_far_into_a_slice():
+    (part,) = slices(pa.array(["é ab" + " x" * 200_000 + " ab é", "ab"]), 1 << 30)
+    hashes = part.word_hashes()
+    assert hashes[0] == hashes[-2] and hashes[1] == hashes[-3] == hashes[-1] and len(set(hashes.tolist())) == 3
