@@ -36,6 +36,8 @@ from .names import free_names
 from .words import Slice, cut, distinct_sorted, mix, slices, windows
 
 PART_BITS = 16
+# Arrays over a slice take eight bytes for each of its own; idle workers keep some of that.
+SLICE = 1 << 20
 SKETCH_WORDS = 16
 CROWDED = 1_000
 BLOCK = 1_024
@@ -141,7 +143,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE):
                 sets, first = shingle_sets(part, n)
                 sketch = dense_sketches(sets, first)
                 yield pa.RecordBatch.from_arrays(
@@ -168,7 +170,7 @@ def _keys(docs: DataFrame, text_col: str, n: int, num: int, den: int) -> DataFra
         bands = Bands(num, den)
         seen: dict[int, None] = {}
         for batch in batches:
-            for part in slices(batch.column(0)):
+            for part in slices(batch.column(0), SLICE):
                 sets, first = shingle_sets(part, n)
                 ids = class_ids(sets, first).view(np.int64)
                 fresh = np.zeros(len(ids), bool)
@@ -196,7 +198,7 @@ def _keys(docs: DataFrame, text_col: str, n: int, num: int, den: int) -> DataFra
 def _sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(0)):
+            for part in slices(batch.column(0), SLICE):
                 sets, first = shingle_sets(part, n)
                 yield pa.RecordBatch.from_arrays(
                     [
