@@ -552,3 +552,24 @@ def test_pairs_of_projects_and_directories_are_not_shuffled(spark):
     similar = projects.suggest_projects(named, asked, spark.createDataFrame([], "session int"))
     assert [tuple(r) for r in similar.collect()] == [(1, "p.md", "ab")]
     assert not plan(similar).startswith(("Aggregate", "Distinct"))
+
+
+def test_messages_go_through_the_matches_once_for_the_outcomes(spark):
+    project_schema = "path string, name string, slug string, remotes array<string>, old_remotes array<string>, old_slugs array<string>"
+    project_rows = [("projects/a.md", "a", "s", ["x.com/u/r"], ["x.com/u/o"], []), ("projects/wx.md", "wx", None, None, None, None)]
+    project_df = spark.createDataFrame(project_rows, project_schema)
+    dir_rows = [(1, 0, "s", []), (2, 0, "d", ["x.com/u/o"]), (3, 0, "w", ["x.com/u/n"]), (4, 0, "q", [])]
+    dir_df = spark.createDataFrame(dir_rows, "session int, depth int, dir_name string, git_remotes array<string>")
+    matches = projects.match_projects(project_df, dir_df)
+    similar = projects.suggest_projects(project_df, dir_df, matches)
+    messages = projects.discovery_messages(dir_df, project_df, matches, similar)
+    got = {}
+    for r in messages.orderBy("session", "part", "line").collect():
+        got.setdefault(r.session, []).append(r.line)
+    assert got[1] == ["Projects auto-loaded:", "[[a]]"]
+    assert got[2][:4] == ["**Project disconnect detected**", "Found [[a]] via old_remote match.", "Current: x.com/u/o", "Expected: x.com/u/r"]
+    assert got[3] == ["**No project found**", "Dir: w", "Remote: x.com/u/n", "- [[wx]]", "Existing project or new?"]
+    assert got[4] == ["**No project found**", "Dir: q", "Remote: none", "Create project note with appropriate frontmatter."]
+    # Lines of strict matches, and the first loose match: once each; the outcomes are read from a step.
+    plan = messages._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") <= 4, plan.count("Aggregate")
